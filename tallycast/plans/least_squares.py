@@ -108,12 +108,13 @@ def solve_moments(moments: DataFrame, n: int, standardise: bool = False) -> Data
     coefs = {}
     for i in range(n):
         s_b = sum((s(i, j) * b(j) for j in range(1, n)), s(i, 0) * b(0))
-        solved = F.when(F.col("rank") == 1, b(i) / F.col("_e1")).when(
-            F.col("rank") == 2, (F.col("_e1") * b(i) - s_b) / F.col("_e2")
+        # try_divide: the engine may evaluate a branch ahead of its condition.
+        solved = F.when(F.col("rank") == 1, F.try_divide(b(i), F.col("_e1"))).when(
+            F.col("rank") == 2, F.try_divide(F.col("_e1") * b(i) - s_b, F.col("_e2"))
         )
         if n == 3:
             adj_b = sum((cofactor(j, i) * b(j) for j in range(1, 3)), cofactor(0, i) * b(0))
-            solved = solved.when(F.col("rank") == 3, adj_b / F.col("_e3"))
+            solved = solved.when(F.col("rank") == 3, F.try_divide(adj_b, F.col("_e3")))
         coefs[f"coef_{i}"] = solved.otherwise(zero)
     df = df.withColumns(coefs)
     spent = [f"s_{i}{j}" for i, j in _pairs(n)] + [f"b_{i}" for i in range(n)] + ["_e1", "_e2", "_e3"]

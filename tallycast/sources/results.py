@@ -46,3 +46,12 @@ def read_result(
     if fmt == "csv":
         reader = reader.option("enforceSchema", False).option("mode", "FAILFAST")
     return reader.format(fmt).load(path)
+
+
+def read_runs(spark: SparkSession, base: str, table: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """One table over all models and runs, with ``model`` and ``run`` columns from the folder names."""
+    keyed = T.StructType(
+        [*schema.fields, T.StructField("model", T.StringType()), T.StructField("run", T.StringType())]
+    )
+    reader = spark.read.schema(keyed).option("header", True).option("basePath", base)
+    return reader.format(fmt).load(result_path(base, "*", "*", table))
