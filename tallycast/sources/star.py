@@ -47,6 +47,10 @@ def line_logs(
         lines = lines.filter(F.col("l_shipdate") >= F.lit(f"{first_year}-01-01").cast("timestamp_ntz"))
     if last_year is not None:
         lines = lines.filter(F.col("l_shipdate") < F.lit(f"{last_year + 1}-01-01").cast("timestamp_ntz"))
+    return as_line_logs(lines)
+
+
+def as_line_logs(lines: DataFrame) -> DataFrame:
     return lines.select(
         F.col("l_suppkey").alias("suppkey"),
         F.col("l_partkey").alias("partkey"),

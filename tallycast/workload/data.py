@@ -11,6 +11,7 @@ from tallycast.operators import apportion as app
 from tallycast.operators import filters, grids, joins, quality, ranking, rollups, scaling, windows
 from tallycast.sources import results, star, timelogs
 from tallycast.storage import scratch_path
+from tallycast.streaming import rollup as rollup_stream
 from tallycast.workload.common import (
     FIRST_YEAR,
     LAST_TRAIN_YEAR,
@@ -409,6 +410,19 @@ def d1_user_months(spark, folder):
     return star.user_months(spark, folder)
 
 
+@query(
+    "d1_stream_part_months",
+    sql(part_months_ctes(), "SELECT partkey, year, month_num, timelog FROM part_months"),
+)
+def d1_stream_part_months(spark, folder):
+    """The rollup fed by a file stream over the line items."""
+    schema = spark.read.parquet(f"{folder}/lineitem.parquet").schema
+    lines = rollup_stream.stream_logs(spark, folder, schema, pattern="lineitem.parquet")
+    out = scratch_path(spark, "stream")
+    rollup_stream.run_monthly_rollup(star.as_line_logs(lines), "partkey", out)
+    return rollup_stream.month_deltas(spark, "partkey", out)
+
+
 @query(
     "d2_project_months",
     sql(project_months_ctes(), "SELECT projectname, year, month_num, timelog FROM project_months"),
