@@ -83,6 +83,10 @@ def month_sequence(first: Column, periods: int) -> Column:
     return F.sequence(start, F.add_months(start, periods - 1), F.expr("interval 1 month"))
 
 
+# (sin, cos) of a month's place on the yearly circle, as SQL text.
+CYCLIC_SQL = ("sin({month} * 2 * pi() / 12)", "cos({month} * 2 * pi() / 12)")
+
+
 def cyclic_month(month_num: Column) -> tuple[Column, Column]:
     """(sin, cos) of the month's place on the yearly circle."""
     angle = month_num * F.lit(2 * math.pi) / F.lit(12)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.functions.calendar import index_to_date, month_index
+from tallycast.functions.calendar import month_index
 
 
 def fill_months(
@@ -26,31 +26,27 @@ def fill_months(
     the grid is never built apart and joined: one shuffle on the entity, which
     later per-entity windows reuse.
     """
-    index = month_index(F.col("year"), F.col("month_num"))
-    rows = monthly.select(entity, index.alias("_at"), F.col(value))
-    if first_year is not None:
-        rows = rows.filter(F.col("_at") >= first_year * 12)
-    if last_year is not None:
-        rows = rows.filter(F.col("_at") <= last_year * 12 + 11)
-    order = Window.partitionBy(entity).orderBy("_at")
-    first = F.col("_at") if first_year is None else F.lit(first_year * 12)
-    after = F.col("_at") + 1 if last_year is None else F.lit(last_year * 12 + 12)
-    spans = rows.withColumns(
-        {
-            "_from": F.when(F.lag("_at").over(order).isNull(), first).otherwise(F.col("_at")),
-            "_until": F.coalesce(F.lead("_at").over(order), after),
-        }
+    first = "_at" if first_year is None else str(first_year * 12)
+    after = "_at + 1" if last_year is None else str(last_year * 12 + 12)
+    bounds = [f"_at >= {first_year * 12}"] if first_year is not None else []
+    bounds += [f"_at < {last_year * 12 + 12}"] if last_year is not None else []
+    order = f"OVER (PARTITION BY `{entity}` ORDER BY _at)"
+    rows = monthly.selectExpr(f"`{entity}`", "CAST(year * 12 + month_num - 1 AS INT) AS _at", f"`{value}`")
+    if bounds:
+        rows = rows.filter(" AND ".join(bounds))
+    spans = rows.selectExpr(
+        "*",
+        f"if(lag(_at) {order} IS NULL, {first}, _at) AS _from",
+        f"coalesce(lead(_at) {order}, {after}) AS _until",
     )
-    cells = spans.withColumn(
-        "month_idx", F.explode(F.sequence(F.col("_from"), F.col("_until") - 1))
-    ).withColumn("observed", F.col("month_idx") == F.col("_at"))
-    return cells.select(
-        entity,
+    cells = spans.selectExpr("*", "explode(sequence(_from, _until - 1)) AS month_idx")
+    return cells.selectExpr(
+        f"`{entity}`",
         "month_idx",
-        F.floor(F.col("month_idx") / 12).cast("int").alias("year"),
-        (F.col("month_idx") % 12 + 1).cast("int").alias("month_num"),
-        F.when(F.col("observed"), F.col(value)).otherwise(F.lit(fill)).alias(value),
-        "observed",
+        "CAST(month_idx DIV 12 AS INT) AS year",
+        "CAST(month_idx % 12 + 1 AS INT) AS month_num",
+        f"if(month_idx = _at, `{value}`, {fill}) AS `{value}`",
+        "month_idx = _at AS observed",
     )
 
 
@@ -79,19 +75,20 @@ def expand_horizon(
     if anchor == "year":
         if target_year is None:
             raise ValueError("anchor='year' needs a target_year")
-        base = F.lit(target_year * 12 - 1)
+        base = str(target_year * 12 - 1)
     elif anchor == "last_obs":
-        base = F.col(last)
+        base = last
     else:
         raise ValueError(f"unknown anchor {anchor!r}")
-    steps = entities.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
-    target = (base + F.col("step")).cast("int")
-    return steps.withColumn("_target", target).withColumns(
-        {
-            "ds": index_to_date(F.col("_target")),
-            "year": F.floor(F.col("_target") / 12).cast("int"),
-            "month_num": (F.col("_target") % 12 + 1).cast("int"),
-        }
+    return (
+        entities.selectExpr("*", f"explode(sequence(1, {periods})) AS step")
+        .selectExpr("*", f"CAST({base} + step AS INT) AS _target")
+        .selectExpr(
+            "*",
+            "make_date(_target DIV 12, _target % 12 + 1, 1) AS ds",
+            "CAST(_target DIV 12 AS INT) AS year",
+            "CAST(_target % 12 + 1 AS INT) AS month_num",
+        )
     )
 
 

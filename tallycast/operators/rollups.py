@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tallycast.functions.calendar import MONTHS, month_name_of
 
 
+def _with_keys(logs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are all present; plain IS NOT NULL tests reach the scan and both join sides."""
+    return logs.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+
+
 def monthly_rollup(
     logs: DataFrame, entity: str, value: str = "timelog", means: Sequence[str] = ()
 ) -> DataFrame:
@@ -20,7 +25,7 @@ def monthly_rollup(
     """
     keys = [entity, "year", "month_num"]
     return (
-        logs.dropna(subset=keys)
+        _with_keys(logs, keys)
         .groupBy(*keys)
         .agg(
             F.coalesce(F.sum(value), F.lit(0)).alias(value),
@@ -31,9 +36,7 @@ def monthly_rollup(
 
 def totals(logs: DataFrame, keys: Sequence[str], value: str = "timelog") -> DataFrame:
     """Sum of the value per key combination."""
-    return (
-        logs.dropna(subset=list(keys)).groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias(value))
-    )
+    return _with_keys(logs, keys).groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias(value))
 
 
 def log_cells(logs: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def log_cells(logs: DataFrame) -> DataFrame:
     """
     keys = ["username", "projectid", "projectname", "year", "month_num"]
     return (
-        logs.dropna(subset=["username", "projectname", "year", "month_num"])
+        _with_keys(logs, ["username", "projectname", "year", "month_num"])
         .groupBy(*keys)
         .agg(F.coalesce(F.sum("timelog"), F.lit(0)).alias("timelog"), F.count(F.lit(1)).alias("n_rows"))
     )
@@ -65,7 +68,7 @@ def monthly_total(monthly: DataFrame, value: str = "timelog", expand_months: boo
     ``expand_months`` yields all twelve months of every year present, absent
     ones as 0. The expansion works on the totals, at most twelve per year.
     """
-    summed = totals(monthly, ["year", "month_num"], value)
+    summed = monthly.groupBy("year", "month_num").agg(F.sum(value).alias(value))
     if not expand_months:
         return summed
     per_year = summed.groupBy("year").agg(
@@ -89,15 +92,17 @@ def mean_per_entity(monthly: DataFrame, entity: str, value: str = "timelog") ->
 def population_mean(monthly: DataFrame, entity: str, value: str = "timelog") -> DataFrame:
     """Mean monthly total divided by the number of entities: one row.
 
-    Month totals and entities are grouped separately and added up, which spares
-    the row expansion of two distinct counts in one aggregate.
+    Month sums and entities are two grouping sets of one pass; both shrink in
+    the partial aggregation, before the shuffle.
     """
-    months = monthly.groupBy("year", "month_num").agg(F.sum(value).cast("double").alias("_sum"))
-    entities = monthly.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.lit(1).alias("_entities"))
-    counted = months.select("_sum", F.lit(1).alias("_months"), F.lit(0).alias("_entities")).unionAll(
-        entities.select(F.lit(0.0).alias("_sum"), F.lit(0).alias("_months"), "_entities")
+    grouped = monthly.groupingSets(
+        [[F.col("year"), F.col("month_num")], [F.col(entity)]], "year", "month_num", entity
+    ).agg(F.sum(value).cast("double").alias("_sum"), F.grouping(entity).alias("_is_month"))
+    total = grouped.agg(
+        F.sum(F.when(F.col("_is_month") == 1, F.col("_sum"))).alias("_sum"),
+        F.count_if(F.col("_is_month") == 1).alias("_months"),
+        F.count_if((F.col("_is_month") == 0) & F.col(entity).isNotNull()).alias("_entities"),
     )
-    total = counted.agg(*[F.sum(c).alias(c) for c in ["_sum", "_months", "_entities"]])
     return total.select(
         F.try_divide(F.try_divide("_sum", "_months"), F.col("_entities")).alias("population_mean")
     )

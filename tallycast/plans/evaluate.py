@@ -20,6 +20,10 @@ def backtest(
     """Fit on the years before ``test_year`` and set the prediction beside what happened.
 
     (entity, year, month_num, predicted, actual); a side without a row is null.
+
+    ``monthly`` is read for the training years and again for the test year.
+    Over a log laid out by date that reads each part once; otherwise hand in a
+    materialised rollup, so that the log is scanned a single time.
     """
     train, actual = split_by_year(monthly, test_year - 1)
     predicted = model(train).filter(F.col("year") == test_year)

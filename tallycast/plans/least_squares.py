@@ -15,57 +15,72 @@ e1, e2, e3 the elementary symmetric functions of S's eigenvalues,
     rank 0   w = 0
 
 because b always lies in the range of S.
+
+Formulas are SQL text: they stay readable, and a plan of this size builds in
+milliseconds where hundreds of chained Column calls take most of a second.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.functions.calendar import cyclic_month
-from tallycast.functions.numeric import clamp_zero, growth_factor, is_finite
+from tallycast.functions.calendar import CYCLIC_SQL
 from tallycast.operators.grids import expand_horizon
 
 # Eigenvalue ratio below which a direction counts as absent from the data.
 RANK_TOLERANCE = 1e-10
 
 
-def _pairs(n: int) -> list[tuple[int, int]]:
+def pairs(n: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(n) for j in range(i, n)]
 
 
-def moment_columns(features: Sequence[Column], target: Column) -> list[Column]:
-    """Aggregates: n_obs, y_mean, x_mean_i, s_ij (i <= j) and b_i."""
-    n = len(features)
-    return [
-        F.count(target).alias("n_obs"),
-        F.avg(target).alias("y_mean"),
-        *[F.avg(x).alias(f"x_mean_{i}") for i, x in enumerate(features)],
-        *[F.covar_pop(features[i], features[j]).alias(f"s_{i}{j}") for i, j in _pairs(n)],
-        *[F.covar_pop(x, target).alias(f"b_{i}") for i, x in enumerate(features)],
-    ]
+def moment_sql(features: Sequence[str], target: str) -> dict[str, str]:
+    """Aggregates by name: n_obs, y_mean, x_mean_i, s_ij (i <= j) and b_i."""
+    return {
+        "n_obs": f"count({target})",
+        "y_mean": f"avg({target})",
+        **{f"x_mean_{i}": f"avg({x})" for i, x in enumerate(features)},
+        **{f"s_{i}{j}": f"covar_pop({features[i]}, {features[j]})" for i, j in pairs(len(features))},
+        **{f"b_{i}": f"covar_pop({x}, {target})" for i, x in enumerate(features)},
+    }
+
+
+def _s(i: int, j: int) -> str:
+    return f"s_{min(i, j)}{max(i, j)}"
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def _standardised(moments: DataFrame, n: int) -> DataFrame:
     """Covariances turned into correlations; a constant feature keeps scale 1."""
-    scales = {
-        f"scale_{i}": F.when(F.col(f"s_{i}{i}") > 0, F.sqrt(f"s_{i}{i}")).otherwise(F.lit(1.0))
-        for i in range(n)
-    }
-    scaled = moments.withColumns(scales)
-    return scaled.withColumns(
+    scaled = _with(moments, {f"scale_{i}": f"if(s_{i}{i} > 0, sqrt(s_{i}{i}), 1D)" for i in range(n)})
+    return _with(
+        scaled,
         {
-            **{
-                f"s_{i}{j}": F.col(f"s_{i}{j}") / (F.col(f"scale_{i}") * F.col(f"scale_{j}"))
-                for i, j in _pairs(n)
-            },
-            **{f"b_{i}": F.col(f"b_{i}") / F.col(f"scale_{i}") for i in range(n)},
-        }
+            **{f"s_{i}{j}": f"s_{i}{j} / (scale_{i} * scale_{j})" for i, j in pairs(n)},
+            **{f"b_{i}": f"b_{i} / scale_{i}" for i in range(n)},
+        },
     )
 
 
+def _cofactor(i: int, j: int) -> str:
+    """Signed 2 x 2 minor of the 3 x 3 covariance matrix."""
+    r = [k for k in range(3) if k != i]
+    c = [k for k in range(3) if k != j]
+    minor = f"({_s(r[0], c[0])} * {_s(r[1], c[1])} - {_s(r[0], c[1])} * {_s(r[1], c[0])})"
+    return minor if (i + j) % 2 == 0 else f"(-{minor})"
+
+
+def _sum(terms: Sequence[str]) -> str:
+    return " + ".join(terms) if terms else "0D"
+
+
 def solve_moments(moments: DataFrame, n: int, standardise: bool = False) -> DataFrame:
     """Add ``coef_i`` and ``rank`` to rows of moments; the moments are dropped.
 
@@ -75,85 +90,59 @@ def solve_moments(moments: DataFrame, n: int, standardise: bool = False) -> Data
     if not 1 <= n <= 3:
         raise ValueError("one to three features")
     df = _standardised(moments, n) if standardise else moments
-
-    def s(i: int, j: int) -> Column:
-        return F.col(f"s_{min(i, j)}{max(i, j)}")
-
-    def b(i: int) -> Column:
-        return F.col(f"b_{i}")
-
-    def minor(i: int, j: int) -> Column:
-        return s(i, i) * s(j, j) - s(i, j) * s(i, j)
-
-    zero = F.lit(0.0)
-    e1 = sum((s(i, i) for i in range(1, n)), s(0, 0))
-    e2 = sum((minor(i, j) for i, j in _pairs(n) if i != j), zero)
-
-    def cofactor(i: int, j: int) -> Column:
-        r = [k for k in range(3) if k != i]
-        c = [k for k in range(3) if k != j]
-        signed = s(r[0], c[0]) * s(r[1], c[1]) - s(r[0], c[1]) * s(r[1], c[0])
-        return signed if (i + j) % 2 == 0 else -signed
-
-    e3 = sum((s(0, j) * cofactor(0, j) for j in range(1, 3)), s(0, 0) * cofactor(0, 0)) if n == 3 else zero
-    df = df.withColumns({"_e1": F.coalesce(e1, zero), "_e2": F.coalesce(e2, zero), "_e3": F.coalesce(e3, zero)})
-    tolerance = F.lit(RANK_TOLERANCE)
-    rank = (
-        F.when(F.col("_e3") > tolerance * F.col("_e1") * F.col("_e2"), 3)
-        .when(F.col("_e2") > tolerance * F.col("_e1") * F.col("_e1"), 2)
-        .when(F.col("_e1") > 0, 1)
-        .otherwise(0)
+    e1 = _sum([_s(i, i) for i in range(n)])
+    e2 = _sum([f"({_s(i, i)} * {_s(j, j)} - {_s(i, j)} * {_s(i, j)})" for i, j in pairs(n) if i != j])
+    e3 = _sum([f"{_s(0, j)} * {_cofactor(0, j)}" for j in range(3)] if n == 3 else [])
+    df = _with(df, {"_e1": f"coalesce({e1}, 0D)", "_e2": f"coalesce({e2}, 0D)", "_e3": f"coalesce({e3}, 0D)"})
+    df = _with(
+        df,
+        {
+            "rank": f"""CASE WHEN _e3 > {RANK_TOLERANCE}D * _e1 * _e2 THEN 3
+                WHEN _e2 > {RANK_TOLERANCE}D * _e1 * _e1 THEN 2 WHEN _e1 > 0 THEN 1 ELSE 0 END"""
+        },
     )
-    df = df.withColumn("rank", rank)
-    coefs = {}
-    for i in range(n):
-        s_b = sum((s(i, j) * b(j) for j in range(1, n)), s(i, 0) * b(0))
+
+    def coefficient(i: int) -> str:
+        s_b = _sum([f"{_s(i, j)} * b_{j}" for j in range(n)])
+        adj_b = _sum([f"{_cofactor(j, i)} * b_{j}" for j in range(3)] if n == 3 else [])
         # try_divide: the engine may evaluate a branch ahead of its condition.
-        solved = F.when(F.col("rank") == 1, F.try_divide(b(i), F.col("_e1"))).when(
-            F.col("rank") == 2, F.try_divide(F.col("_e1") * b(i) - s_b, F.col("_e2"))
-        )
-        if n == 3:
-            adj_b = sum((cofactor(j, i) * b(j) for j in range(1, 3)), cofactor(0, i) * b(0))
-            solved = solved.when(F.col("rank") == 3, F.try_divide(adj_b, F.col("_e3")))
-        coefs[f"coef_{i}"] = solved.otherwise(zero)
-    df = df.withColumns(coefs)
-    spent = [f"s_{i}{j}" for i, j in _pairs(n)] + [f"b_{i}" for i in range(n)] + ["_e1", "_e2", "_e3"]
+        return f"""CASE rank WHEN 3 THEN try_divide({adj_b}, _e3)
+            WHEN 2 THEN try_divide(_e1 * b_{i} - ({s_b}), _e2)
+            WHEN 1 THEN try_divide(b_{i}, _e1) ELSE 0D END"""
+
+    df = _with(df, {f"coef_{i}": coefficient(i) for i in range(n)})
+    spent = [f"s_{i}{j}" for i, j in pairs(n)] + [f"b_{i}" for i in range(n)] + ["_e1", "_e2", "_e3"]
     return df.drop(*spent)
 
 
 def fit(
-    df: DataFrame,
-    keys: Sequence[str],
-    features: Sequence[Column],
-    target: Column,
-    standardise: bool = False,
-    extra: Sequence[Column] = (),
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, standardise: bool = False
 ) -> DataFrame:
-    """One row per key: n_obs, means, coefficients and rank."""
-    moments = df.groupBy(*keys).agg(*moment_columns(features, target), *extra)
-    return solve_moments(moments, len(features), standardise)
+    """One row per key: n_obs, means, coefficients and rank. Features and target are SQL expressions."""
+    doubles = [f"CAST({x} AS DOUBLE)" for x in features]
+    moments = moment_sql(doubles, f"CAST({target} AS DOUBLE)")
+    grouped = df.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, text in moments.items()])
+    return solve_moments(grouped, len(features), standardise)
 
 
-def evaluate_fit(features: Sequence[Column], standardise: bool = False) -> Column:
+def fitted_value_sql(features: Sequence[str], standardise: bool = False) -> str:
     """The fitted value at the given feature values."""
-    value = F.col("y_mean")
+    terms = ["y_mean"]
     for i, x in enumerate(features):
-        distance = x - F.col(f"x_mean_{i}")
-        if standardise:
-            distance = distance / F.col(f"scale_{i}")
-        value = value + F.col(f"coef_{i}") * distance
-    return value
+        scale = f" / scale_{i}" if standardise else ""
+        terms.append(f"coef_{i} * ({x} - x_mean_{i}){scale}")
+    return _sum(terms)
 
 
-FeatureMaker = Callable[[Column, Column], list[Column]]
+FeatureMaker = Callable[[str, str], list[str]]
 
 
-def _ordinal(year: Column, month: Column) -> list[Column]:
+def _ordinal(year: str, month: str) -> list[str]:
     return [year, month]
 
 
-def _cyclic(year: Column, month: Column) -> list[Column]:
-    return [year, *cyclic_month(month)]
+def _cyclic(year: str, month: str) -> list[str]:
+    return [year, *[wave.format(month=month) for wave in CYCLIC_SQL]]
 
 
 # kind: (features, standardised, least rows for a fit, what shorter series get)
@@ -190,33 +179,24 @@ def forecast_ols(
     """
     make, standardise, default_min, default_short = KINDS[features]
     min_rows = default_min if min_rows is None else min_rows
-    short = short or default_short
     base_year = target_year - 1 if growth_base_year is None else growth_base_year
+    growth = 1.0 + growth_rate * (target_year - base_year)
 
-    past = make((F.col("year") - target_year).cast("double"), F.col("month_num").cast("double"))
-    fitted = fit(monthly, [entity], past, F.col(value).cast("double"), standardise)
+    past = make(f"(year - {target_year})", "month_num")
+    fitted = fit(monthly, [entity], past, value, standardise)
     future = expand_horizon(fitted, 12, "year", target_year)
-    at = make(F.lit(0.0), F.col("month_num").cast("double"))
-
-    raw = evaluate_fit(at, standardise)
-    scored = future.withColumn("_raw", raw)
-    usable = is_finite(F.col("_raw"))
-    shortened = F.col("n_obs") < min_rows
-    fallback = (
-        F.col("y_mean") * growth_factor(target_year, base_year, growth_rate)
-        if short == "mean_growth"
-        else F.lit(0.0)
-    )
-    predicted = clamp_zero(F.col("_raw")) if clamp else F.col("_raw")
-    yhat = (
-        F.when(shortened, F.coalesce(fallback, F.lit(0.0))).when(usable, predicted).otherwise(F.lit(0.0))
-    )
-    status = (
-        F.when(shortened, "short_history")
-        .when(~usable, "failed")
-        .when(F.col("rank") < len(past), "rank_deficient")
-        .otherwise("ok")
-    )
-    return scored.select(
-        entity, "ds", "year", "month_num", yhat.alias("yhat"), "n_obs", status.alias("fit_status")
+    scored = _with(future, {"_raw": fitted_value_sql(make("0", "month_num"), standardise)})
+
+    usable = "(_raw IS NOT NULL AND NOT isnan(_raw) AND abs(_raw) < double('infinity'))"
+    fallback = f"coalesce(y_mean * {growth}D, 0D)" if (short or default_short) == "mean_growth" else "0D"
+    predicted = "greatest(0D, _raw)" if clamp else "_raw"
+    return scored.selectExpr(
+        f"`{entity}`",
+        "ds",
+        "year",
+        "month_num",
+        f"CASE WHEN n_obs < {min_rows} THEN {fallback} WHEN {usable} THEN {predicted} ELSE 0D END AS yhat",
+        "n_obs",
+        f"""CASE WHEN n_obs < {min_rows} THEN 'short_history' WHEN NOT {usable} THEN 'failed'
+            WHEN rank < {len(past)} THEN 'rank_deficient' ELSE 'ok' END AS fit_status""",
     )

@@ -124,8 +124,9 @@ def forecast_pooled_gbt(
     target_year: int,
     value: str = "timelog",
     min_rows: int = 3,
-    max_iter: int = 20,
+    max_iter: int = 10,
     max_depth: int = 4,
+    step_size: float = 0.2,
     seed: int = 42,
 ) -> DataFrame:
     """Gradient-boosted trees on standardised year and cyclic month, over all entities.
@@ -154,7 +155,7 @@ def forecast_pooled_gbt(
         "label", (F.col("_y") - F.col("y_mean")) / F.col("y_std")
     )
     assembler = VectorAssembler(inputCols=_TREE_FEATURES, outputCol="features")
-    model = GBTRegressor(maxIter=max_iter, maxDepth=max_depth, seed=seed).fit(
+    model = GBTRegressor(maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed).fit(
         assembler.transform(train).select("features", "label")
     )
     entities = history.drop("year", "month_num", "_y").distinct()

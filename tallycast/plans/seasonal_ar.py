@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.operators.grids import expand_horizon, fill_months
@@ -31,37 +31,35 @@ def forecast_seasonal_ar(
     """
     n_months = (last_year - first_year + 1) * 12
     last_idx = last_year * 12 + 11
-    order = Window.partitionBy(entity).orderBy("month_idx")
-    grid = fill_months(monthly, entity, value, first_year, last_year).withColumn("_y", F.col(value).cast("double"))
-    lagged = grid.withColumn("_z", F.col("_y") - F.lag("_y", SEASON).over(order)).withColumn(
-        "_z1", F.lag("_z").over(order)
+    order = f"OVER (PARTITION BY `{entity}` ORDER BY month_idx)"
+    grid = fill_months(monthly, entity, value, first_year, last_year)
+    lagged = (
+        grid.selectExpr("*", f"CAST(`{value}` AS DOUBLE) AS _y")
+        .selectExpr("*", f"_y - lag(_y, {SEASON}) {order} AS _z")
+        .selectExpr("*", f"lag(_z) {order} AS _z1")
     )
-    recent = F.col("month_idx") > last_idx - SEASON
     per_entity = lagged.groupBy(entity).agg(
-        F.count_if("observed").alias("n_obs"),
-        F.sum(F.col("_z") * F.col("_z1")).alias("_cross"),
-        F.sum(F.when(F.col("_z").isNotNull(), F.col("_z1") * F.col("_z1"))).alias("_square"),
-        F.max(F.when(F.col("month_idx") == last_idx, F.col("_z"))).alias("_last_z"),
-        F.array_sort(F.collect_list(F.when(recent, F.struct("month_idx", "_y")))).alias("_recent"),
+        F.expr("count_if(observed)").alias("n_obs"),
+        F.expr("coalesce(try_divide(sum(_z * _z1), sum(_z1 * _z1)), 0D)").alias("_slope"),
+        F.expr(f"coalesce(max(if(month_idx = {last_idx}, _z, NULL)), 0D)").alias("_last_z"),
+        F.expr(
+            f"array_sort(collect_list(if(month_idx > {last_idx - SEASON}, struct(month_idx, _y), NULL)))"
+        ).alias("_recent"),
     )
-    slope = F.coalesce(F.try_divide(F.col("_cross"), F.col("_square")), F.lit(0.0))
-    phi = F.lit(0.0) if n_months < 25 else F.greatest(F.lit(-PHI_LIMIT), F.least(F.lit(PHI_LIMIT), slope))
-    future = expand_horizon(per_entity.withColumn("_phi", phi), periods, "year", last_year + 1)
-    base = F.element_at("_recent", ((F.col("step") - 1) % SEASON + 1).cast("int"))["_y"]
+    phi = "0D" if n_months < 25 else f"greatest(-{PHI_LIMIT}D, least({PHI_LIMIT}D, _slope))"
+    future = expand_horizon(per_entity.selectExpr("*", f"{phi} AS _phi"), periods, "year", last_year + 1)
     # Beyond one year the differences of earlier forecasts add up: phi^h + phi^(h-12) + ...
-    seasons_ahead = F.sequence(F.lit(0), F.floor((F.col("step") - 1) / SEASON).cast("int"))
-    carried = F.aggregate(
-        seasons_ahead, F.lit(0.0), lambda acc, j: acc + F.pow("_phi", F.col("step") - j * SEASON)
-    )
-    yhat = base + carried * F.coalesce("_last_z", F.lit(0.0))
-    return future.select(
-        entity,
+    carried = f"""aggregate(sequence(0, (step - 1) DIV {SEASON}), 0D,
+        (acc, j) -> acc + power(_phi, step - j * {SEASON}))"""
+    status = "ok" if n_months >= 25 else "short_history"
+    return future.selectExpr(
+        f"`{entity}`",
         "ds",
         "year",
         "month_num",
-        yhat.alias("yhat"),
+        f"_recent[(step - 1) % {SEASON}]._y + {carried} * _last_z AS yhat",
         "n_obs",
-        F.lit("ok" if n_months >= 25 else "short_history").alias("fit_status"),
+        f"'{status}' AS fit_status",
     )
 
 

@@ -13,19 +13,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.functions.calendar import month_index
 from tallycast.operators.grids import expand_horizon
-from tallycast.plans.least_squares import _pairs, solve_moments
+from tallycast.plans.least_squares import pairs, solve_moments
 
-# Months are counted from January of this year; any origin gives the same fit.
-ORIGIN_YEAR = 2000
+# Months are counted from January 2000; any origin gives the same fit.
+_ORIGIN = 2000 * 12
 
+# What every step carries along from the trend window.
+_CARRIED = ["_slope", "_level", "_last", "n_obs"]
 
-def _position(index: Column) -> Column:
-    return (index - ORIGIN_YEAR * 12).cast("double")
+
+def _aggregate(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    carried = {c: f"first({c})" for c in _CARRIED}
+    return df.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, text in {**columns, **carried}.items()])
 
 
 def forecast_seasonal_trend(
@@ -50,132 +53,107 @@ def forecast_seasonal_trend(
     """
     if len(regressors) > 3:
         raise ValueError("three regressors at most")
-    group = Window.partitionBy(entity)
-    k = _position(F.col("_idx"))
-    y = F.col(value).cast("double")
+    group = f"OVER (PARTITION BY `{entity}`)"
+    # A month without its regressor takes no part in the season fit.
+    complete = " AND ".join([f"`{x}` IS NOT NULL" for x in regressors] or ["true"])
     rows = (
-        monthly.withColumn("_idx", month_index(F.col("year"), F.col("month_num")))
-        .withColumns(
-            {
-                "_slope": F.regr_slope(y, k).over(group),
-                "_level": F.regr_intercept(y, k).over(group),
-                "_last": F.max("_idx").over(group),
-                "n_obs": F.count(F.lit(1)).over(group),
-            }
+        monthly.selectExpr(
+            f"`{entity}`",
+            "month_num",
+            "CAST(year * 12 + month_num - 1 AS INT) AS _idx",
+            f"CAST(year * 12 + month_num - 1 - {_ORIGIN} AS DOUBLE) AS _k",
+            f"CAST(`{value}` AS DOUBLE) AS _y",
+            *[f"CAST(`{x}` AS DOUBLE) AS _x_{i}" for i, x in enumerate(regressors)],
+            f"{complete} AS _complete",
+        )
+        .selectExpr(
+            "*",
+            f"regr_slope(_y, _k) {group} AS _slope",
+            f"regr_intercept(_y, _k) {group} AS _level",
+            f"max(_idx) {group} AS _last",
+            f"count(1) {group} AS n_obs",
         )
-        .filter(F.col("n_obs") >= 2)
-        .withColumn("_ratio", F.try_divide(y, F.col("_level") + F.col("_slope") * k))
+        .filter("n_obs >= 2")
+        .withColumn("_r", F.expr("if(_complete, try_divide(_y, _level + _slope * _k), NULL)"))
     )
-    for x in regressors:  # a month without its regressor takes no part in the season fit
-        rows = rows.withColumn("_ratio", F.when(F.col(x).isNotNull(), F.col("_ratio")))
-    seasons = _seasons(rows, entity, regressors)
+    seasons = _regressed(rows, entity, len(regressors)) if regressors else _averaged(rows, entity)
     future = expand_horizon(seasons, periods, anchor, target_year)
     if target_year is not None:
-        future = future.filter(F.col("year") == target_year)
-    if regressors:
-        future = _with_future_values(future, entity, regressors, future_x)
-    season = F.coalesce(
-        F.try_element_at("_index", F.col("month_num")), F.col("_index_mean"), F.lit(1.0)
-    )
-    for i, x in enumerate(regressors):
-        season = season + F.col(f"coef_{i}") * (F.col(f"_future_{x}") - F.col(f"_mean_{x}"))
-    trend = F.col("_level") + F.col("_slope") * _position(F.col("_target"))
-    status = F.when(F.col("_index_mean").isNull(), "no_season").otherwise("ok")
-    return future.select(
-        entity, "ds", "year", "month_num", (trend * season).alias("yhat"), "n_obs", status.alias("fit_status")
+        future = future.filter(f"year = {target_year}")
+    if future_x is not None and regressors:
+        given = future_x.selectExpr(
+            f"`{entity}`", "year", "month_num", *[f"CAST(`{x}` AS DOUBLE) AS _given_{i}" for i, x in enumerate(regressors)]
+        )
+        future = future.join(given, [entity, "year", "month_num"], "left")
+        shifts = [f"coef_{i} * (coalesce(_given_{i}, _mean_{i}) - _mean_{i})" for i in range(len(regressors))]
+    else:
+        shifts = []  # at the historical mean a regressor adds nothing to its month's index
+    season = " + ".join(["coalesce(try_element_at(_index, month_num), _index_mean, 1D)", *shifts])
+    return future.selectExpr(
+        f"`{entity}`",
+        "ds",
+        "year",
+        "month_num",
+        f"(_level + _slope * (_target - {_ORIGIN})) * ({season}) AS yhat",
+        "n_obs",
+        "if(_index_mean IS NULL, 'no_season', 'ok') AS fit_status",
     )
 
 
-def _seasons(rows: DataFrame, entity: str, regressors: Sequence[str]) -> DataFrame:
-    """One row per entity: trend, month index map and, with regressors, coefficients and means."""
-    carried = ["_slope", "_level", "_last", "n_obs"]
-    keep = [F.first(c).alias(c) for c in carried]
-    n = len(regressors)
-    # A regressor only counts where the ratio exists.
-    xs = [F.when(F.col("_ratio").isNotNull(), F.col(x).cast("double")) for x in regressors]
-    per_month = rows.groupBy(entity, "month_num").agg(
-        F.avg("_ratio").alias("_r"),
-        F.count("_ratio").alias("_n"),
-        *[F.avg(x).alias(f"_x_{i}") for i, x in enumerate(xs)],
-        *[F.sum(F.col(x).cast("double")).alias(f"_all_{i}") for i, x in enumerate(regressors)],
-        *[F.count(x).alias(f"_all_n_{i}") for i, x in enumerate(regressors)],
-        *[F.covar_pop(xs[i], xs[j]).alias(f"_s_{i}{j}") for i, j in _pairs(n)],
-        *[F.covar_pop(x, F.col("_ratio")).alias(f"_b_{i}") for i, x in enumerate(xs)],
-        *keep,
-    )
-    if not regressors:
-        per_entity = per_month.groupBy(entity).agg(
-            F.avg("_r").alias("_scale"),
-            F.collect_list(F.when(F.col("_r").isNotNull(), F.struct("month_num", "_r"))).alias("_cells"),
-            *keep,
-        )
-        # Normalised to mean 1; an all-zero or trendless series has no scale and keeps index 1.
-        return per_entity.select(
-            entity,
-            *carried,
-            F.map_from_entries(
-                F.transform(
-                    "_cells",
-                    lambda c: F.struct(
-                        c["month_num"].alias("month_num"), F.try_divide(c["_r"], F.col("_scale")).alias("s")
-                    ),
-                )
-            ).alias("_index"),
-            F.when(F.col("_scale") != 0, 1.0).alias("_index_mean"),
-        )
+def _averaged(rows: DataFrame, entity: str) -> DataFrame:
+    """Mean ratio per calendar month, normalised to average 1.
 
-    def pooled(name: str) -> Column:
-        return F.sum(F.col("_n") * F.col(f"_{name}")).alias(name)
-
-    per_entity = per_month.groupBy(entity).agg(
-        *[pooled(f"s_{i}{j}") for i, j in _pairs(n)],
-        *[pooled(f"b_{i}") for i in range(n)],
-        *[
-            F.try_divide(F.sum(f"_all_{i}"), F.sum(f"_all_n_{i}")).alias(f"_mean_{x}")
-            for i, x in enumerate(regressors)
-        ],
-        F.collect_list(
-            F.when(
-                F.col("_r").isNotNull(),
-                F.struct("month_num", "_r", F.array(*[F.col(f"_x_{i}") for i in range(n)]).alias("_x")),
-            )
-        ).alias("_cells"),
-        *keep,
+    An all-zero or trendless series has no ratios and keeps index 1.
+    """
+    per_month = _aggregate(rows, [entity, "month_num"], {"_m": "avg(_r)"})
+    per_entity = _aggregate(
+        per_month,
+        [entity],
+        {"_scale": "avg(_m)", "_cells": "collect_list(if(_m IS NOT NULL, struct(month_num, _m), NULL))"},
+    )
+    return per_entity.selectExpr(
+        f"`{entity}`",
+        *_CARRIED,
+        "map_from_entries(transform(_cells, c -> struct(c.month_num, try_divide(c._m, _scale)))) AS _index",
+        "if(_scale != 0, 1D, NULL) AS _index_mean",
     )
-    solved = solve_moments(per_entity, n)
 
-    def adjusted(cell: Column) -> Column:
-        s = cell["_r"]
-        for i, x in enumerate(regressors):
-            s = s - F.col(f"coef_{i}") * (F.coalesce(cell["_x"][i], F.col(f"_mean_{x}")) - F.col(f"_mean_{x}"))
-        return s
 
-    indexed = solved.withColumn(
-        "_cells",
-        F.transform("_cells", lambda c: F.struct(c["month_num"].alias("month_num"), adjusted(c).alias("s"))),
+def _regressed(rows: DataFrame, entity: str, n: int) -> DataFrame:
+    """Month index and regressor coefficients from one least-squares problem."""
+    xs = [f"if(_r IS NOT NULL, _x_{i}, NULL)" for i in range(n)]
+    per_month = _aggregate(
+        rows,
+        [entity, "month_num"],
+        {
+            "_m": "avg(_r)",
+            "_n": "count(_r)",
+            **{f"_xm_{i}": f"avg({x})" for i, x in enumerate(xs)},
+            **{f"_sum_{i}": f"sum(_x_{i})" for i in range(n)},
+            **{f"_count_{i}": f"count(_x_{i})" for i in range(n)},
+            **{f"_s_{i}{j}": f"covar_pop({xs[i]}, {xs[j]})" for i, j in pairs(n)},
+            **{f"_b_{i}": f"covar_pop({x}, _r)" for i, x in enumerate(xs)},
+        },
     )
-    mean = F.try_divide(
-        F.aggregate("_cells", F.lit(0.0), lambda acc, c: acc + c["s"]), F.size("_cells").cast("double")
+    means = ", ".join(f"_xm_{i}" for i in range(n))
+    per_entity = _aggregate(
+        per_month,
+        [entity],
+        {
+            **{f"s_{i}{j}": f"sum(_n * _s_{i}{j})" for i, j in pairs(n)},
+            **{f"b_{i}": f"sum(_n * _b_{i})" for i in range(n)},
+            **{f"_mean_{i}": f"try_divide(sum(_sum_{i}), sum(_count_{i}))" for i in range(n)},
+            "_cells": f"collect_list(if(_m IS NOT NULL, struct(month_num, _m, array({means}) AS _xm), NULL))",
+        },
     )
-    return indexed.select(
-        entity,
-        *carried,
+    solved = solve_moments(per_entity, n)
+    shifted = " ".join(f"- coef_{i} * (c._xm[{i}] - _mean_{i})" for i in range(n))
+    indexed = solved.selectExpr("*", f"transform(_cells, c -> struct(c.month_num, c._m {shifted} AS s)) AS _season")
+    return indexed.selectExpr(
+        f"`{entity}`",
+        *_CARRIED,
         *[f"coef_{i}" for i in range(n)],
-        *[f"_mean_{x}" for x in regressors],
-        F.map_from_entries("_cells").alias("_index"),
-        mean.alias("_index_mean"),
-    )
-
-
-def _with_future_values(
-    future: DataFrame, entity: str, regressors: Sequence[str], future_x: DataFrame | None
-) -> DataFrame:
-    if future_x is None:
-        return future.withColumns({f"_future_{x}": F.col(f"_mean_{x}") for x in regressors})
-    known = future_x.select(
-        entity, "year", "month_num", *[F.col(x).cast("double").alias(f"_given_{x}") for x in regressors]
-    )
-    joined = future.join(known, [entity, "year", "month_num"], "left")
-    return joined.withColumns(
-        {f"_future_{x}": F.coalesce(f"_given_{x}", f"_mean_{x}") for x in regressors}
+        *[f"_mean_{i}" for i in range(n)],
+        "map_from_entries(_season) AS _index",
+        "try_divide(aggregate(_season, 0D, (acc, c) -> acc + c.s), size(_season)) AS _index_mean",
     )

@@ -26,17 +26,14 @@ def tidy(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles to four digits, dates to text, flags to integers."""
     chosen = df.select(*columns) if columns else df
 
-    def plain(field: T.StructField):
-        c = F.col(field.name)
-        if isinstance(field.dataType, T.DoubleType):
-            return round4(c).alias(field.name)
-        if isinstance(field.dataType, T.DateType):
-            return F.date_format(c, "yyyy-MM-dd").alias(field.name)
-        if isinstance(field.dataType, T.BooleanType):
-            return c.cast("int").alias(field.name)
-        return c
-
-    return chosen.select(*[plain(f) for f in chosen.schema.fields])
+    plain = {
+        T.DoubleType: f"round(`{{0}}` + {_NUDGE}D, 4) AS `{{0}}`",
+        T.DateType: "date_format(`{0}`, 'yyyy-MM-dd') AS `{0}`",
+        T.BooleanType: "CAST(`{0}` AS INT) AS `{0}`",
+    }
+    return chosen.selectExpr(
+        *[plain.get(type(f.dataType), "`{0}`").format(f.name) for f in chosen.schema.fields]
+    )
 
 
 def r4(expr: str) -> str:

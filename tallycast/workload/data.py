@@ -10,7 +10,7 @@ from tallycast.functions import numeric as num
 from tallycast.operators import apportion as app
 from tallycast.operators import filters, grids, joins, quality, ranking, rollups, scaling, windows
 from tallycast.sources import results, star, timelogs
-from tallycast.storage import scratch_path
+from tallycast.storage import materialise, scratch_path
 from tallycast.streaming import rollup as rollup_stream
 from tallycast.workload.common import (
     FIRST_YEAR,
@@ -178,7 +178,7 @@ FROM user_months WHERE year <= 2000 GROUP BY 1, 2""",
     ),
 )
 def b2_train_test_split(spark, folder):
-    train, test = filters.split_by_year(star.user_months(spark, folder), 1999)
+    train, test = filters.split_by_year(materialise(star.user_months(spark, folder)), 1999)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return both.groupBy("part", "username").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("timelog").alias("timelog")

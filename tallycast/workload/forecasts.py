@@ -509,7 +509,7 @@ _PROJECTS_TO_2000 = project_months_ctes(None, TEST_YEAR)
 
 @query("i11_backtest_users", sql(_aligned_ctes(_USERS_TO_2000, "user_months", "username"), _aligned_rows("username")))
 def i11_backtest_users(spark, folder):
-    return tidy(evaluate.backtest(_users(spark, folder), "username", TEST_YEAR, _cyclic("username")))
+    return tidy(evaluate.backtest(materialise(_users(spark, folder)), "username", TEST_YEAR, _cyclic("username")))
 
 
 @query(
@@ -517,7 +517,7 @@ def i11_backtest_users(spark, folder):
     sql(_aligned_ctes(_PROJECTS_TO_2000, "project_months", "projectname"), _aligned_rows("projectname")),
 )
 def i11_backtest_projects(spark, folder):
-    return tidy(evaluate.backtest(_projects(spark, folder), "projectname", TEST_YEAR, _cyclic("projectname")))
+    return tidy(evaluate.backtest(materialise(_projects(spark, folder)), "projectname", TEST_YEAR, _cyclic("projectname")))
 
 
 @query(
@@ -529,7 +529,7 @@ FROM aligned GROUP BY year, month_num""",
     ),
 )
 def c5_align_month_totals(spark, folder):
-    train, actual = filters.split_by_year(_projects(spark, folder), TEST_YEAR - 1)
+    train, actual = filters.split_by_year(materialise(_projects(spark, folder)), TEST_YEAR - 1)
     keys = ["year", "month_num"]
     predicted = rollups.totals(forecast_ols(train, "projectname", TEST_YEAR), keys, "yhat")
     return tidy(joins.align(predicted, rollups.monthly_total(actual), keys))
@@ -549,7 +549,7 @@ _BOTH = "actual IS NOT NULL AND predicted IS NOT NULL"
     ),
 )
 def i12_accuracy_per_project(spark, folder):
-    tested = evaluate.backtest(_projects(spark, folder), "projectname", TEST_YEAR, _cyclic("projectname"))
+    tested = evaluate.backtest(materialise(_projects(spark, folder)), "projectname", TEST_YEAR, _cyclic("projectname"))
     return tidy(evaluate.accuracy(tested, ["projectname"]))
 
 
@@ -561,7 +561,7 @@ def i12_accuracy_per_project(spark, folder):
     ),
 )
 def i12_accuracy_overall(spark, folder):
-    tested = evaluate.backtest(_users(spark, folder), "username", TEST_YEAR, _cyclic("username"))
+    tested = evaluate.backtest(materialise(_users(spark, folder)), "username", TEST_YEAR, _cyclic("username"))
     return tidy(evaluate.accuracy(tested))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallycast.operators import charts, filters, joins, ranking, rollups
 from tallycast.plans.least_squares import forecast_ols
 from tallycast.sources import star
+from tallycast.storage import materialise
 from tallycast.workload.common import (
     ALL_YEARS,
     LAST_TRAIN_YEAR,
@@ -153,7 +154,9 @@ ON p.year = a.year AND p.month_num = a.month_num""",
     ),
 )
 def j6_holdout_top_users(spark, folder):
-    train, actual = filters.split_by_year(star.user_months(spark, folder, None, LAST_TRAIN_YEAR), 1999)
+    train, actual = filters.split_by_year(
+        materialise(star.user_months(spark, folder, None, LAST_TRAIN_YEAR)), 1999
+    )
     forecast = forecast_ols(train, "username", 2000).withColumn("yhat", round4("yhat"))
     return tidy(
         joins.align(
@@ -180,7 +183,9 @@ FROM predicted FULL OUTER JOIN actual USING (year, month_num)""",
     ),
 )
 def j6_holdout_project_totals(spark, folder):
-    train, actual = filters.split_by_year(star.project_months(spark, folder, None, LAST_TRAIN_YEAR), 1999)
+    train, actual = filters.split_by_year(
+        materialise(star.project_months(spark, folder, None, LAST_TRAIN_YEAR)), 1999
+    )
     keys = ["year", "month_num"]
     predicted = rollups.totals(forecast_ols(train, "projectname", 2000), keys, "yhat")
     return tidy(joins.align(predicted, rollups.monthly_total(actual), keys))

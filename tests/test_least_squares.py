@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallycast.functions.calendar import cyclic_month
+from tallycast.functions.calendar import CYCLIC_SQL
 from tallycast.plans import evaluate
 from tallycast.plans.least_squares import fit, forecast_ols
 from tests.conftest import rows
@@ -126,8 +126,8 @@ def test_exact_line_is_recovered(spark):
         for m in range(1, 13)
     ]
     df = spark.createDataFrame(data, "entity string, year int, month_num int, v double")
-    sin, cos = cyclic_month(F.col("month_num"))
-    row = fit(df, ["entity"], [F.col("year") - 2020.0, sin, cos], F.col("v")).first()
+    waves = [wave.format(month="month_num") for wave in CYCLIC_SQL]
+    row = fit(df, ["entity"], ["year - 2020", *waves], "v").first()
     assert np.allclose([row.coef_0, row.coef_1, row.coef_2], [2, 3, 4], atol=1e-10) and row.rank == 3
 
 
