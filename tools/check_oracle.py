@@ -1,4 +1,10 @@
-"""Run queries and their SQL twins side by side: python tools/check_oracle.py FOLDER [PREFIX...]"""
+"""Run queries and their SQL twins side by side.
+
+python tools/check_oracle.py FOLDER [PREFIX...] [key=value...]
+
+A key=value argument sets a Spark setting, e.g. spark.sql.autoBroadcastJoinThreshold=-1
+to take the paths beyond the broadcast limit.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,6 @@ import glob
 import os
 import sys
 import time
-import traceback
 
 import duckdb
 
@@ -45,8 +50,11 @@ def compare(df, connection, sql):
 
 
 def main() -> int:
-    folder, prefixes = sys.argv[1], tuple(sys.argv[2:])
+    folder, rest = sys.argv[1], sys.argv[2:]
+    prefixes = tuple(a for a in rest if "=" not in a)
     spark = get_session("check", master="local[8]", shuffle_partitions=8)
+    for setting in (a for a in rest if "=" in a):
+        spark.conf.set(*setting.split("=", 1))
     spark.sparkContext.setLogLevel("ERROR")
     connection = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
@@ -65,8 +73,6 @@ def main() -> int:
                 problem = f"rows only: {df.count()}"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
-            if "-v" in sys.argv:
-                traceback.print_exc()
         bad += bool(problem) and not problem.startswith("rows only")
         print(f"{'ok  ' if not problem else '    '} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
     print(f"{bad} problems")
