@@ -18,6 +18,7 @@ from tallycast.functions.numeric import (
     finite_or_zero,
     growth_factor,
     number_or_zero,
+    parse_or_zero,
     round_half_even,
     years_since,
 )
@@ -39,6 +40,7 @@ __all__ = [
     "month_start",
     "normalise_month",
     "number_or_zero",
+    "parse_or_zero",
     "round_half_even",
     "try_month_number",
     "years_since",

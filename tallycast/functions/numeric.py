@@ -6,9 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What counts as a number in text: decimal or exponent form, or a spelled-out NaN or infinity.
+NUMBER_PATTERN = r"^\s*[-+]?(\d+\.?\d*([eE][-+]?\d+)?|\.\d+([eE][-+]?\d+)?|(?i:nan|inf|infinity))\s*$"
+
+
 def number_or_zero(value: Column) -> Column:
-    """Coerce to double; text that is no number, null and NaN become 0."""
-    return F.coalesce(F.nanvl(value.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    """A numeric column as double; null and NaN become 0."""
+    return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def parse_or_zero(text: Column) -> Column:
+    """A text column as double; what is no number, null and NaN become 0.
+
+    The pattern keeps other text away from the cast, whose failures cost an
+    exception each.
+    """
+    number = F.when(text.rlike(NUMBER_PATTERN), text)
+    return F.coalesce(F.nanvl(number.try_cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def is_finite(value: Column) -> Column:

@@ -42,7 +42,7 @@ def r4(expr: str) -> str:
 
 
 def sql(ctes: list[str], body: str) -> str:
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
 
 
 def _years(column: str, first: int | None, last: int | None) -> str:
@@ -229,3 +229,80 @@ def seasonal_ar_ctes(p: str, source: str, entity: str, first: int, last: int) ->
   g.timelog + pow(c.phi, g.month_num) * c.last_z AS yhat, CAST(c.n_obs AS BIGINT) AS n_obs
   FROM {p}_g g JOIN {p}_c c ON g.{entity} = c.{entity} WHERE g.year = {last})""",
     ]
+
+
+def solve_ctes(p: str, source: str, key: str, n: int) -> list[str]:
+    """CTE ``p`` (key, coef): linear systems by Gauss-Jordan steps, one system per key.
+
+    ``source`` holds the rows' vectors: (key, v) with v = n regressors and the target.
+    """
+    step = f"""list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda c: c / m[k][k])
+    ELSE list_transform(r, lambda c, j: c - r[k] * m[k][j] / m[k][k]) END)"""
+    return [
+        f"""{p}_n AS (SELECT {key}, i, j, sum(v[i] * v[j]) AS s FROM {source},
+  (SELECT CAST(range AS INTEGER) AS i FROM range(1, {n + 1})), (SELECT CAST(range AS INTEGER) AS j FROM range(1, {n + 2}))
+  GROUP BY {key}, i, j)""",
+        f"""{p}_m AS (SELECT {key}, list(r ORDER BY i) AS m FROM (SELECT {key}, i, list(s ORDER BY j) AS r
+  FROM {p}_n GROUP BY {key}, i) GROUP BY {key})""",
+        f"""{p}_g AS (SELECT {key}, 1 AS k, m FROM {p}_m
+  UNION ALL SELECT {key}, k + 1, {step} FROM {p}_g WHERE k <= {n})""",
+        f"{p} AS (SELECT {key}, list_transform(m, lambda r: r[{n + 1}]) AS coef FROM {p}_g WHERE k = {n + 1})",
+    ]
+
+
+def pooled_ar_ctes(p: str, source: str, entity: str, first: int, last: int) -> list[str]:
+    """CTE chain ending in ``p``: pooled autoregression on scaled 12-month windows."""
+    past = f"list(s) OVER (PARTITION BY {entity} ORDER BY month_idx ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"
+    return [
+        *grid_ctes(f"{p}_grid", source, entity, first, last),
+        f"""{p}_span AS (SELECT {entity}, CAST(min(timelog) AS DOUBLE) AS low,
+  CAST(CASE WHEN max(timelog) = min(timelog) THEN 1 ELSE max(timelog) - min(timelog) END AS DOUBLE) AS span,
+  count(*) AS n_obs FROM {p}_grid GROUP BY {entity})""",
+        f"{p}_s AS (SELECT {entity}, month_idx, (timelog - low) / span AS s FROM {p}_grid JOIN {p}_span USING ({entity}))",
+        f"{p}_lags AS (SELECT {entity}, month_idx, s, {past} AS x FROM {p}_s)",
+        f"{p}_v AS (SELECT 1 AS one, list_concat(x, [1.0::DOUBLE, s]) AS v FROM {p}_lags WHERE len(x) = 12)",
+        *solve_ctes(f"{p}_w", f"{p}_v", "one", 13),
+        f"""{p}_path AS (SELECT {entity}, 0 AS h, list(s ORDER BY month_idx) AS x FROM {p}_s
+  WHERE month_idx >= {last * 12} GROUP BY {entity}
+  UNION ALL SELECT {entity}, h + 1, list_append(x[2:], list_dot_product(x, coef[1:12]) + coef[13])
+  FROM {p}_path, {p}_w WHERE h < 12)""",
+        f"""{p} AS (SELECT {entity}, CAST({last + 1} AS INTEGER) AS year, CAST(h AS INTEGER) AS month_num,
+  x[12] * span + low AS yhat, n_obs FROM {p}_path JOIN {p}_span USING ({entity}) WHERE h > 0)""",
+    ]
+
+
+def seasonal_arma_ctes(p: str, source: str, entity: str, first: int, last: int) -> list[str]:
+    """CTE chain ending in ``p``: seasonal difference, AR(1), MA at lags 1 and 12 by two regressions."""
+    n = (last - first) * 12
+    order = max(1, min(13, (n - 12) // 3))
+    lags = ", ".join(f"w[t - {i}]" for i in range(1, order + 1))
+    at = "(CASE WHEN t >= {1} THEN {0}[t + 1 - {1}] ELSE 0 END)"
+    mean = (
+        f"phi * {at.format('w', 1)} + theta * {at.format('a', 1)} + sma * {at.format('a', 12)}"
+        f" + theta * sma * {at.format('a', 13)}"
+    )
+    return [
+        *grid_ctes(f"{p}_grid", source, entity, first, last),
+        f"""{p}_y AS (SELECT {entity}, list(CAST(timelog AS DOUBLE) ORDER BY month_idx) AS y,
+  CAST(sum(observed) AS BIGINT) AS n_obs FROM {p}_grid GROUP BY {entity})""",
+        f"""{p}_d AS (SELECT {entity}, y, n_obs,
+  list_transform(range(1, {n + 1}), lambda t: y[t + 12] - y[t]) AS w FROM {p}_y)""",
+        f"""{p}_v1 AS (SELECT {entity}, [{lags}, w[t]] AS v FROM {p}_d,
+  (SELECT range AS t FROM range({order + 1}, {n + 1})))""",
+        *solve_ctes(f"{p}_ar", f"{p}_v1", entity, order),
+        f"""{p}_e AS (SELECT d.*, list_transform(range(1, {n + 1}), lambda t: CASE WHEN t <= {order} THEN 0
+    ELSE w[t] - list_dot_product([{lags}], coef) END) AS e FROM {p}_d d JOIN {p}_ar USING ({entity}))""",
+        f"""{p}_v2 AS (SELECT {entity}, [w[t - 1], e[t - 1], e[t - 12], w[t]] AS v FROM {p}_e,
+  (SELECT range AS t FROM range({order + 13}, {n + 1})))""",
+        *solve_ctes(f"{p}_ma", f"{p}_v2", entity, 3),
+        f"""{p}_c AS (SELECT {entity}, y, w, n_obs, greatest(-0.99, least(0.99, coef[1])) AS phi,
+  greatest(-0.99, least(0.99, coef[2])) AS theta, greatest(-0.99, least(0.99, coef[3])) AS sma
+  FROM {p}_d JOIN {p}_ma USING ({entity}))""",
+        f"""{p}_path AS (SELECT {entity}, 0 AS t, y, w, CAST([] AS DOUBLE[]) AS a, n_obs, phi, theta, sma FROM {p}_c
+  UNION ALL SELECT {entity}, t + 1, y, CASE WHEN t < {n} THEN w ELSE list_append(w, {mean}) END,
+  list_append(a, CASE WHEN t < {n} THEN w[t + 1] - ({mean}) ELSE 0 END), n_obs, phi, theta, sma
+  FROM {p}_path WHERE t < {n + 12})""",
+        f"""{p} AS (SELECT {entity}, CAST({last + 1} AS INTEGER) AS year, h AS month_num,
+  y[{n} + h] + w[{n} + h] AS yhat, n_obs FROM {p}_path, (SELECT CAST(range AS INTEGER) AS h FROM range(1, 13))
+  WHERE t = {n + 12})""",
+    ]

@@ -294,8 +294,8 @@ def b13_number_or_zero(spark, folder):
     nan_when_open = F.when(F.col("o_orderstatus") == "P", F.lit(float("nan"))).otherwise(1.0)
     return orders.groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(num.number_or_zero(F.substring("o_orderpriority", 1, 1))).alias("digits"),
-        F.sum(num.number_or_zero(F.col("o_orderpriority"))).alias("texts"),
+        F.sum(num.parse_or_zero(F.substring("o_orderpriority", 1, 1))).alias("digits"),
+        F.sum(num.parse_or_zero(F.col("o_orderpriority"))).alias("texts"),
         F.sum(num.number_or_zero(nan_when_open)).alias("not_nan"),
     )
 
@@ -904,7 +904,7 @@ def h13_casts(spark, folder):
         .groupBy("size_text")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.sum(num.number_or_zero(F.col("p_brand"))).alias("brand_numbers"),
+            F.sum(num.parse_or_zero(F.col("p_brand"))).alias("brand_numbers"),
             F.sum(F.col("size_text").try_cast("int")).alias("size_sum"),
         )
     )
@@ -954,14 +954,27 @@ def m1_apportion(spark, folder):
 @query(
     "m2_day_scaffold",
     sql(
-        [user_logs_cte()],
-        """SELECT username, strftime(CAST(d AS DATE), '%Y-%m-%d') AS date
-FROM (SELECT DISTINCT username FROM user_logs) CROSS JOIN
-  (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS d)""",
+        [
+            user_logs_cte(),
+            "logged AS (SELECT username, date, CAST(sum(timelog) AS BIGINT) AS timelog FROM user_logs GROUP BY username, date)",
+            """days AS (SELECT username, CAST(d AS DATE) AS date FROM (SELECT DISTINCT username FROM user_logs)
+  CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS d))""",
+        ],
+        """SELECT username, CAST(year(d.date) AS INTEGER) AS year, CAST(month(d.date) AS INTEGER) AS month_num,
+  count(*) AS n_days, count(timelog) AS n_logged, CAST(coalesce(sum(timelog), 0) AS BIGINT) AS timelog
+FROM days d LEFT JOIN logged l USING (username, date) GROUP BY ALL""",
     ),
 )
 def m2_day_scaffold(spark, folder):
-    return tidy(grids.day_scaffold(star.user_months(spark, folder), "username", 2000, 2000))
+    """Calendar days per user and month, and on how many of them something was logged."""
+    logged = star.user_logs(spark, folder).groupBy("username", "date").agg(F.sum("timelog").alias("timelog"))
+    days = grids.day_scaffold(star.user_months(spark, folder), "username", 1995, 2001)
+    joined = days.join(logged, ["username", "date"], "left")
+    return joined.groupBy("username", F.year("date").alias("year"), F.month("date").alias("month_num")).agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.count("timelog").alias("n_logged"),
+        F.coalesce(F.sum("timelog"), F.lit(0)).alias("timelog"),
+    )
 
 
 @query(

@@ -19,10 +19,12 @@ from tallycast.workload.common import (
     month_name_sql,
     ols_ctes,
     part_months_ctes,
+    pooled_ar_ctes,
     project_months_ctes,
     r4,
     round4,
     seasonal_ar_ctes,
+    seasonal_arma_ctes,
     seasonal_trend_ctes,
     sql,
     tidy,
@@ -257,7 +259,13 @@ def i6a_seasonal_ar_projects(spark, folder):
     return tidy(forecast, "projectname", *_COLUMNS)
 
 
-@query("i6b_seasonal_arma")
+@query(
+    "i6b_seasonal_arma",
+    sql(
+        [*USER_TRAIN, *seasonal_arma_ctes("f", "user_months", "username", FIRST_YEAR, LAST_TRAIN_YEAR)],
+        _forecast_rows("username"),
+    ),
+)
 def i6b_seasonal_arma(spark, folder):
     forecast = seasonal_ar.forecast_seasonal_arma(
         _users(spark, folder), "username", FIRST_YEAR, LAST_TRAIN_YEAR
@@ -327,7 +335,13 @@ def i8_seasonal_trend_regressor(spark, folder):
     return tidy(forecast, "username", *_COLUMNS)
 
 
-@query("i9_pooled_ar")
+@query(
+    "i9_pooled_ar",
+    sql(
+        [*USER_TRAIN, *pooled_ar_ctes("f", "user_months", "username", FIRST_YEAR, LAST_TRAIN_YEAR)],
+        _forecast_rows("username"),
+    ),
+)
 def i9_pooled_ar(spark, folder):
     forecast = pooled.forecast_pooled_ar(
         _users(spark, folder), "username", TARGET_YEAR, first_year=FIRST_YEAR

@@ -32,16 +32,16 @@ def test_truncated_month_number(spark):
     assert one(spark, fn.try_month_number(F.lit("Fooember"), truncate=True)) is None
 
 
-@pytest.mark.parametrize("value", ["Sep", "September", "9", 9])
+@pytest.mark.parametrize("value", ["Sep", "September", "9", "09", " 9 ", 9])
 def test_normalise_month_takes_names_and_numbers(spark, value):
     df = spark.range(1).select(F.lit(value).alias("month"))
     assert fn.normalise_month(df).first()["month_num"] == 9
 
 
-@pytest.mark.parametrize("value", [0, 13, "0"])
+@pytest.mark.parametrize("value", [0, 13, "0", "13", "-1", "Foo", ""])
 def test_normalise_month_rejects_other_numbers(spark, value):
     df = spark.range(1).select(F.lit(value).alias("month"))
-    with pytest.raises(Exception, match="not a month number"):
+    with pytest.raises(Exception, match="not a month number or name"):
         fn.normalise_month(df).collect()
 
 
@@ -81,8 +81,11 @@ def test_clamp_and_coercion(spark):
     assert [r[0] for r in df.select(fn.clamp_zero(F.col("v"))).collect()] == [0.0, 0.0, 3.0, 0.0]
     inf = spark.createDataFrame([(float("inf"),), (float("-inf"),), (2.5,)], "v double")
     assert [r[0] for r in inf.select(fn.finite_or_zero(F.col("v"))).collect()] == [0.0, 0.0, 2.5]
-    text = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",)], "v string")
-    assert [r[0] for r in text.select(fn.number_or_zero(F.col("v"))).collect()] == [1.5, 0.0, 0.0, 0.0]
+    assert [r[0] for r in df.select(fn.number_or_zero(F.col("v"))).collect()] == [0.0, -2.0, 3.0, 0.0]
+    cells = ["1.5", "x", None, "NaN", " -2 ", "1e3", ".5", "5.", "1,000", "", "12abc", "1e", "+7"]
+    text = spark.createDataFrame([(c,) for c in cells], "v string")
+    got = [r[0] for r in text.select(fn.parse_or_zero(F.col("v"))).collect()]
+    assert got == [1.5, 0.0, 0.0, 0.0, -2.0, 1000.0, 0.5, 5.0, 0.0, 0.0, 0.0, 0.0, 7.0]
 
 
 def test_round_half_even(spark):
