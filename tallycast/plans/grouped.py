@@ -22,4 +22,9 @@ def forecast_grouped(
     def ordered(series: pd.DataFrame) -> pd.DataFrame:
         return fn(series.sort_values(["year", "month_num"], ignore_index=True))
 
-    return monthly.groupBy(entity).applyInPandas(ordered, schema)
+    # A stated partition count is kept by adaptive execution, which would otherwise merge
+    # partitions by their few bytes and leave the Python work to one task. The grouping
+    # reuses this partitioning.
+    partitions = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = monthly.repartition(partitions, entity)
+    return spread.groupBy(entity).applyInPandas(ordered, schema)
