@@ -34,15 +34,16 @@ def rollup_by_lookup(
 ) -> DataFrame:
     """Monthly rollup per looked-up name.
 
-    With a small dimension the lookup is a map-side broadcast join ahead of the
-    one aggregation. With a large one the logs are summed per key and month
+    With a small dimension the planner joins by broadcast, map-side, ahead of the
+    one aggregation (no hint is given; both go by the same threshold). With a
+    large one the logs are summed per key and month
     first: the partial sums run before any shuffle, so a key holding a third of
     all rows arrives as one row per task and month, and the join only moves
     monthly rows. Names shared by several keys are summed once more.
     """
     names = dimension.select(key, name)
     if fits_broadcast(names):
-        return monthly_rollup(lookup(logs, F.broadcast(names), key), name, value)
+        return monthly_rollup(lookup(logs, names, key), name, value)
     per_key = monthly_rollup(logs, key, value)
     return monthly_rollup(lookup(per_key, names, key), name, value)
 

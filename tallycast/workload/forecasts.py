@@ -579,6 +579,23 @@ def i12_accuracy_overall(spark, folder):
     return tidy(evaluate.accuracy(tested))
 
 
+@query(
+    "i12_accuracy_month_totals",
+    sql(
+        [
+            *_aligned_ctes(_PROJECTS_TO_2000, "project_months", "projectname"),
+            """month_totals AS (SELECT year, month_num, sum(predicted) AS predicted, sum(actual) AS actual
+  FROM aligned GROUP BY year, month_num)""",
+        ],
+        f"SELECT {_ERRORS} FROM month_totals WHERE {_BOTH}",
+    ),
+)
+def i12_accuracy_month_totals(spark, folder):
+    tested = evaluate.backtest(materialise(_projects(spark, folder)), "projectname", TEST_YEAR, _cyclic("projectname"))
+    sums = [F.sum(c).alias(c) for c in ("predicted", "actual")]
+    return tidy(evaluate.accuracy(tested.groupBy("year", "month_num").agg(*sums)))
+
+
 _MODEL_CTES = [
     *_USERS_TO_2000,
     f"train AS (SELECT * FROM user_months WHERE year < {TEST_YEAR})",

@@ -55,7 +55,7 @@ def design(points, kind, target):
     return np.array(x, float)
 
 
-def reference_fit(points, kind, target):
+def expected_fit(points, kind, target):
     """Centred minimum-norm least squares, then the twelve target months, clamped."""
     x, y = design(points, kind, target), np.array([p[2] for p in points], float)
     scale = np.ones(x.shape[1])
@@ -108,7 +108,7 @@ def test_every_awkward_series_against_numpy(monthly, kind):
             mean = np.mean([p[2] for p in points]) * 1.05 if kind == "rebased" else 0
             assert np.allclose(values, mean) and status == "short_history", name
         else:
-            assert np.allclose(values, reference_fit(points, kind, 2023), atol=1e-6), name
+            assert np.allclose(values, expected_fit(points, kind, 2023), atol=1e-6), name
             assert status in ("ok", "rank_deficient")
     assert got["one_year"][1][1] == "rank_deficient" and got["n48"][1][1] == "ok"
 

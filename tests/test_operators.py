@@ -50,7 +50,7 @@ def _lookup_case(spark):
 
 def test_rollup_by_lookup_small_dimension(spark):
     facts, dimension, expected = _lookup_case(spark)
-    got = joins.rollup_by_lookup(facts, dimension.hint("none"), "key", "name")
+    got = joins.rollup_by_lookup(facts, dimension, "key", "name")
     assert rows(got) == expected
 
 
@@ -66,8 +66,12 @@ def test_rollup_by_lookup_beyond_broadcast(spark, no_broadcast):
 
 def test_cells_serve_the_other_rollups(spark):
     rng = random.Random(3)
-    data = [(f"u{rng.randint(1, 4)}", 2020, rng.randint(1, 3), p := rng.randint(1, 3), rng.randint(0, 9), f"P{p}") for _ in range(300)]
-    df = spark.createDataFrame(data, "username string, year int, month_num int, projectid int, timelog long, projectname string")
+    data = []
+    for _ in range(300):
+        project = rng.randint(1, 3)
+        data.append((f"u{rng.randint(1, 4)}", 2020, rng.randint(1, 3), project, rng.randint(0, 9), f"P{project}"))
+    schema = "username string, year int, month_num int, projectid int, timelog long, projectname string"
+    df = spark.createDataFrame(data, schema)
     cells = rollups.log_cells(df)
     direct = rollups.monthly_rollup(df, "username", means=["projectid"])
     again = rollups.user_months_with_project(cells)
@@ -127,9 +131,14 @@ def test_guards_fail(spark, monthly):
 
 
 def test_calendar_violations(spark):
-    df = spark.createDataFrame([("Jan", 2020), ("January", 2020), ("Foo", 2020), (None, 2020), ("Feb", None)], "month string, year int")
-    assert rows(quality.calendar_violations(df).groupBy("reason").count()) == [("date invalid", 1), ("month missing", 1), ("month unknown", 2)]
-    assert quality.calendar_violations(df, truncate=True).count() == 3
+    cells = [("Jan", 2020), ("January", 2020), ("Foo", 2020), (None, 2020), ("Feb", None), ("Mar", 0)]
+    df = spark.createDataFrame(cells, "month string, year int")
+    assert rows(quality.calendar_violations(df).groupBy("reason").count()) == [
+        ("date invalid", 2),
+        ("month missing", 1),
+        ("month unknown", 2),
+    ]
+    assert quality.calendar_violations(df, truncate=True).count() == 4
 
 
 def test_limit(monthly):

@@ -121,7 +121,8 @@ def test_regressors_against_joint_regression(spark, n):
     df = spark.createDataFrame(data, schema)
     got = predictions(forecast_seasonal_trend(df, "entity", regressors=names))
     given = {(y, m): [float(m), 0.5, -3.0][:n] for y in (2021,) for m in range(1, 7)}
-    future = spark.createDataFrame([("a", y, m, *x) for (y, m), x in given.items()], "entity string, year int, month_num int, " + ", ".join(f"{x} double" for x in names))
+    future_schema = "entity string, year int, month_num int, " + ", ".join(f"{x} double" for x in names)
+    future = spark.createDataFrame([("a", y, m, *x) for (y, m), x in given.items()], future_schema)
     with_future = predictions(forecast_seasonal_trend(df, "entity", regressors=names, future_x=future))
     for name, (points, xs) in series.items():
         mean = [x.mean() for x in xs]
