@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.operators.rollups import monthly_rollup
+from tallycast.operators.rollups import totals
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -30,9 +30,14 @@ def lookup(logs: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 
 
 def rollup_by_lookup(
-    logs: DataFrame, dimension: DataFrame, key: str, name: str, value: str = "timelog"
+    logs: DataFrame,
+    dimension: DataFrame,
+    key: str,
+    name: str,
+    value: str = "timelog",
+    by: Sequence[str] = ("year", "month_num"),
 ) -> DataFrame:
-    """Monthly rollup per looked-up name.
+    """Sum per looked-up name and month, or per other columns in ``by`` (none: plain totals).
 
     With a small dimension the planner joins by broadcast, map-side, ahead of the
     one aggregation (no hint is given; both go by the same threshold). With a
@@ -43,9 +48,9 @@ def rollup_by_lookup(
     """
     names = dimension.select(key, name)
     if fits_broadcast(names):
-        return monthly_rollup(lookup(logs, names, key), name, value)
-    per_key = monthly_rollup(logs, key, value)
-    return monthly_rollup(lookup(per_key, names, key), name, value)
+        return totals(lookup(logs, names, key), [name, *by], value)
+    per_key = totals(logs, [key, *by], value)
+    return totals(lookup(per_key, names, key), [name, *by], value)
 
 
 def join_rollups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

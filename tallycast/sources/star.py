@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallycast.operators.joins import lookup, rollup_by_lookup
 
-
 # The columns used, stated so that no job runs to look into file footers.
 _COLUMNS = {
     "lineitem": "l_suppkey bigint, l_partkey bigint, l_quantity double, l_shipdate timestamp_ntz",
@@ -87,3 +86,19 @@ def project_months(spark: SparkSession, folder: str, first_year=None, last_year=
     return rollup_by_lookup(
         line_logs(spark, folder, first_year, last_year), parts(spark, folder), "partkey", "projectname"
     )
+
+
+def user_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(username, timelog) over the whole log."""
+    return rollup_by_lookup(line_logs(spark, folder), suppliers(spark, folder), "suppkey", "username", by=())
+
+
+def project_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(projectname, timelog) over the whole log."""
+    return rollup_by_lookup(line_logs(spark, folder), parts(spark, folder), "partkey", "projectname", by=())
+
+
+def active_users(spark: SparkSession, folder: str) -> DataFrame:
+    """(username), once per supplier that occurs in the log: keys are made distinct before the lookup."""
+    keys = line_logs(spark, folder).select("suppkey").distinct()
+    return lookup(keys, suppliers(spark, folder), "suppkey")

@@ -116,10 +116,8 @@ FROM project_logs GROUP BY projectname""",
 )
 def a4_versioned_results(spark, folder):
     base = scratch_path(spark, "results")
-    users = rollups.totals(star.user_months(spark, folder), ["username"]).withColumnRenamed("username", "name")
-    projects = rollups.totals(star.project_months(spark, folder), ["projectname"]).withColumnRenamed(
-        "projectname", "name"
-    )
+    users = star.user_totals(spark, folder).withColumnRenamed("username", "name")
+    projects = star.project_totals(spark, folder).withColumnRenamed("projectname", "name")
     results.write_result(users, base, "history", "by_user", "totals")
     results.write_result(projects, base, "history", "by_project", "totals")
     return results.read_runs(spark, base, "totals", users.schema)
@@ -261,7 +259,7 @@ def b6_null_audit(spark, folder):
 
 @query("b7_distinct_users", sql([user_logs_cte()], "SELECT DISTINCT username FROM user_logs"))
 def b7_distinct_users(spark, folder):
-    return rollups.distinct_entities(star.user_months(spark, folder), "username")
+    return rollups.distinct_entities(star.active_users(spark, folder), "username")
 
 
 @query(
@@ -309,7 +307,7 @@ FROM project_logs GROUP BY projectname""",
     ),
 )
 def b14_constant_year(spark, folder):
-    return filters.with_year(rollups.totals(star.project_months(spark, folder), ["projectname"]), 2001)
+    return filters.with_year(star.project_totals(spark, folder), 2001)
 
 
 _NAMED_MONTHS = f"""named AS (SELECT l_linenumber, CAST(year(l_shipdate) AS INTEGER) AS year,
@@ -451,7 +449,7 @@ def d3_project_user_totals(spark, folder):
     ),
 )
 def d4_project_totals(spark, folder):
-    return rollups.totals(star.project_logs(spark, folder), ["projectname"])
+    return star.project_totals(spark, folder)
 
 
 @query(
@@ -462,7 +460,7 @@ def d4_project_totals(spark, folder):
     ),
 )
 def d5_user_totals(spark, folder):
-    return rollups.totals(star.user_months(spark, folder), ["username"])
+    return star.user_totals(spark, folder)
 
 
 @query(
@@ -611,7 +609,7 @@ def d15_rows_per_user(spark, folder):
 
 @query("d16_count_users", sql([user_logs_cte()], "SELECT count(DISTINCT username) AS n_entities FROM user_logs"))
 def d16_count_users(spark, folder):
-    return rollups.count_entities(star.user_months(spark, folder), "username")
+    return rollups.count_entities(star.active_users(spark, folder), "username")
 
 
 # ---- E: ranks and windows -------------------------------------------------------------
@@ -968,7 +966,7 @@ FROM days d LEFT JOIN logged l USING (username, date) GROUP BY ALL""",
 def m2_day_scaffold(spark, folder):
     """Calendar days per user and month, and on how many of them something was logged."""
     logged = star.user_logs(spark, folder).groupBy("username", "date").agg(F.sum("timelog").alias("timelog"))
-    days = grids.day_scaffold(star.user_months(spark, folder), "username", 1995, 2001)
+    days = grids.day_scaffold(star.active_users(spark, folder), "username", 1995, 2001)
     joined = days.join(logged, ["username", "date"], "left")
     return joined.groupBy("username", F.year("date").alias("year"), F.month("date").alias("month_num")).agg(
         F.count(F.lit(1)).alias("n_days"),
