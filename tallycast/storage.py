@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,31 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    When the setting is absent a temporary folder is used, but only with a local
-    master; on a cluster such a folder would be lost with its machine.
+    Where the setting is absent, a local master (one machine, as in tests) uses a
+    folder in the warehouse; a cluster must name a folder its machines share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = os.path.join(tempfile.gettempdir(), "tallycast-shared")
-    os.makedirs(folder, exist_ok=True)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once, keep in reliable storage, and cut the lineage there.
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path whose readers are done."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialise(df: DataFrame, label: str = "kept") -> DataFrame:
+    """Compute once, keep as Parquet in the shared folder, and cut the lineage there.
 
     For a table that several jobs read (a monthly rollup behind a fit and its
-    scoring), so the raw log is scanned once.
+    scoring), so the raw log is scanned once. Readers of the kept table still get
+    column pruning and pushed filters, and lost executors cost no recomputation.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
