@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallycast.llm import simhash
+from tallycast.llm import decontaminate, secrets, simhash
 
 _QUERIES = {
+    "op2_benchmark_decontamination": (decontaminate.op2, decontaminate.OP2_SQL),
     "op9_simhash_near_duplicates": (simhash.op9, None),
+    "op10_secret_scans": (secrets.op10, secrets.OP10_SQL),
 }
 
 
