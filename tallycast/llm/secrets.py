@@ -247,7 +247,7 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
 def op10(spark, folder: str) -> DataFrame:
     docs = find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
     names = "array(" + ", ".join(f"'{r.kind}'" for r in RULES) + ")"
-    listed = "array_join(transform({{}}, s -> concat(" + names + "[s.kind_no], ':', s.start, ':', s.stop)), ',')"
+    listed = "array_join(transform({}, s -> concat(" + names + "[s.kind_no], ':', s.start, ':', s.stop)), ',')"
     count = "CAST(size(filter(spans, s -> s.kind_no = {})) AS BIGINT)"
     return docs.select(
         "doc_id",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallycast.llm import decontaminate, secrets, simhash
+from tallycast.llm import decontaminate, packing, secrets, sharding, simhash
 
 _QUERIES = {
+    "op1_sampled_splitters": (sharding.op1, None),
     "op2_benchmark_decontamination": (decontaminate.op2, decontaminate.OP2_SQL),
+    "op4_sum_of_squares_packing": (packing.op4, None),
     "op9_simhash_near_duplicates": (simhash.op9, None),
     "op10_secret_scans": (secrets.op10, secrets.OP10_SQL),
 }
