@@ -36,3 +36,11 @@ def process_cache(key: str, build: Callable[[], Any]) -> Any:
     if not hasattr(holder, key):
         setattr(holder, key, build())
     return getattr(holder, key)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

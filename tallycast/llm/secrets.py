@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import table, text_of
+from tallycast.llm.common import fresh, table, text_of
 
 
 class Rule(NamedTuple):
@@ -213,34 +213,35 @@ def _spans(rule: Rule, order: int, text: str) -> Column:
     return F.expr(f"IF({text} RLIKE {quoted}, {walk}, {empty})")
 
 
-def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` with a column spans: array of (start, kind_no, stop), sorted, ends exclusive.
+def find_secrets(docs: DataFrame, rules=RULES, column: str = "spans") -> DataFrame:
+    """``docs`` with a column of spans: array of (start, kind_no, stop), sorted, ends exclusive.
 
     Positions count code points. A null text is empty. Spans of different rules may overlap;
-    within one rule they do not. Other columns stay, repeated rows too.
+    within one rule they do not. Other columns stay, repeated rows too; one of the same name
+    as ``column`` is replaced.
     """
     grams = vocabulary(rules)
-    indexed = docs.withColumn("_text", text_of()).withColumn("_low", F.lower("_text"))
-    indexed = indexed.withColumn("_grams", postings(F.col("_low"), grams)).drop("_low")
-    parts = []
-    for k, rule in enumerate(rules):
-        none = F.expr("CAST(array() AS array<struct<start: int, kind_no: int, stop: int>>)")
-        parts.append(F.when(candidate("_grams", rule, grams), _spans(rule, k, "_text")).otherwise(none))
-    return indexed.withColumn("spans", F.array_sort(F.flatten(F.array(*parts)))).drop("_text", "_grams")
+    text, low, index = fresh(docs, "whole"), fresh(docs, "low"), fresh(docs, "postings")
+    indexed = docs.withColumn(text, text_of()).withColumn(low, F.lower(text))
+    indexed = indexed.withColumn(index, postings(F.col(low), grams)).drop(low)
+    none = F.expr("CAST(array() AS array<struct<start: int, kind_no: int, stop: int>>)")
+    parts = [F.when(candidate(index, rule, grams), _spans(rule, k, text)).otherwise(none) for k, rule in enumerate(rules)]
+    return indexed.withColumn(column, F.array_sort(F.flatten(F.array(*parts)))).drop(text, index)
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), columns unchanged;
     n_chars, where present, follows the new text. Rows without a span keep their text as it is."""
-    found = find_secrets(docs, rules)
-    merged = f"""aggregate(spans, struct(0 AS pos, CAST(array() AS array<string>) AS parts),
+    spans, hit = fresh(docs, "spans"), fresh(docs, "hit")
+    found = find_secrets(docs, rules, spans).withColumn(hit, F.size(spans) > 0)
+    merged = f"""aggregate({spans}, struct(0 AS pos, CAST(array() AS array<string>) AS parts),
         (a, x) -> struct(greatest(a.pos, x.stop) AS pos,
             IF(x.start >= a.pos, array_append(a.parts, concat(substring(text, a.pos + 1, x.start - a.pos), '{mark}')), a.parts) AS parts),
         a -> concat(array_join(a.parts, ''), substring(text, a.pos + 1)))"""
-    cleaned = found.withColumn("_hit", F.size("spans") > 0).withColumn("text", F.expr(f"IF(_hit, {merged}, text)"))
+    cleaned = found.withColumn("text", F.expr(f"IF({hit}, {merged}, text)"))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_hit"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(hit), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tallycast.llm import decontaminate, packing, secrets, sharding, simhash
+from tallycast.llm import chat, decontaminate, packing, secrets, sharding, simhash, toxicity
 
 _QUERIES = {
     "op1_sampled_splitters": (sharding.op1, None),
     "op2_benchmark_decontamination": (decontaminate.op2, decontaminate.OP2_SQL),
     "op4_sum_of_squares_packing": (packing.op4, None),
+    "op5_chat_formatting": (chat.op5, None),
+    "op8_toxicity": (toxicity.op8, None),
     "op9_simhash_near_duplicates": (simhash.op9, None),
     "op10_secret_scans": (secrets.op10, secrets.OP10_SQL),
 }
