@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallycast.llm import chat, decontaminate, packing, secrets, sharding, simhash, toxicity
+from tallycast.llm import chat, decontaminate, neighbours, packing, secrets, sharding, simhash, substrings, toxicity
 
 _QUERIES = {
     "op1_sampled_splitters": (sharding.op1, None),
     "op2_benchmark_decontamination": (decontaminate.op2, decontaminate.OP2_SQL),
+    "op3_substring_dedup": (substrings.op3, None),
     "op4_sum_of_squares_packing": (packing.op4, None),
     "op5_chat_formatting": (chat.op5, None),
+    "op6_nearest_neighbours": (neighbours.op6, None),
     "op8_toxicity": (toxicity.op8, None),
     "op9_simhash_near_duplicates": (simhash.op9, None),
     "op10_secret_scans": (secrets.op10, secrets.OP10_SQL),
