@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallycast.llm import chat, decontaminate, neighbours, packing, secrets, sharding, simhash, substrings, toxicity
+from tallycast.llm import chat, decontaminate, neighbours, packing, pages, secrets, sharding, simhash, substrings, toxicity
 
 _QUERIES = {
     "op1_sampled_splitters": (sharding.op1, None),
@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_sum_of_squares_packing": (packing.op4, None),
     "op5_chat_formatting": (chat.op5, None),
     "op6_nearest_neighbours": (neighbours.op6, None),
+    "op7_page_differencing": (pages.op7, None),
     "op8_toxicity": (toxicity.op8, None),
     "op9_simhash_near_duplicates": (simhash.op9, None),
     "op10_secret_scans": (secrets.op10, secrets.OP10_SQL),
