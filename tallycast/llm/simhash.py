@@ -100,6 +100,20 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` with one document of each component, the one of smallest id; columns unchanged.
+
+    A row that repeats a kept doc_id goes too. Rows without doc_id cannot be told apart and
+    are dropped where their component has a row with one, and kept otherwise.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), words)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = materialise(kept, "kept-ids")
+    alone = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return alone if rows == ids else alone.dropDuplicates(["doc_id"])
+
+
 def op9(spark, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tallycast.llm import chat, decontaminate, neighbours, packing, pages, secrets, sharding, simhash, substrings, toxicity
 
 _QUERIES = {
@@ -15,6 +16,7 @@ _QUERIES = {
     "op8_toxicity": (toxicity.op8, None),
     "op9_simhash_near_duplicates": (simhash.op9, None),
     "op10_secret_scans": (secrets.op10, secrets.OP10_SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
