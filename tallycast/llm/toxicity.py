@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return Model(np.zeros(1 << settings.bits), float(np.log(share / (1 - share))), settings)
 
     @F.udf(VectorUDT())  # a few thousand rows
-    def scaled(text: str):
+    def scaled(text):
         at = np.flatnonzero(np.isin(chosen, buckets(text, settings)))
         return Vectors.sparse(len(chosen), at.tolist(), ratios[at].tolist())
 
