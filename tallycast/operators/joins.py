@@ -8,49 +8,53 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallycast.operators.rollups import totals
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the planner's size estimate lies below ``autoBroadcastJoinThreshold``."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return limit > 0 and int(str(size)) <= limit
+# Stands for the name of a key that the dimension does not have.
+UNMATCHED = "(unmatched)"
 
 
-def lookup(logs: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+def lookup(logs: DataFrame, dimension: DataFrame, key: str, unmatched: str | None = UNMATCHED) -> DataFrame:
     """Attach the dimension's columns by key.
 
+    Rows whose key the dimension lacks (or that have none) stay: their text columns read
+    ``unmatched``, the other ones are null. With ``unmatched=None`` such rows are left out.
     No hint is given: the planner broadcasts a dimension below the size
     threshold, and beyond it runs a shuffled join whose hot keys adaptive
     execution splits.
     """
-    return logs.join(dimension, key, "inner").drop(key)
+    if unmatched is None:
+        return logs.join(dimension, key, "inner").drop(key)
+    found = "_found"
+    names = [f.name for f in dimension.schema.fields if f.name != key and isinstance(f.dataType, T.StringType)]
+    joined = logs.join(dimension.withColumn(found, F.lit(True)), key, "left")
+    named = {n: F.when(F.col(found).isNull(), F.lit(unmatched)).otherwise(F.col(n)) for n in names}
+    return joined.withColumns(named).drop(key, found)
 
 
 def rollup_by_lookup(
     logs: DataFrame,
     dimension: DataFrame,
     key: str,
-    name: str,
+    name: str | Sequence[str],
     value: str = "timelog",
     by: Sequence[str] = ("year", "month_num"),
+    count: str | None = None,
+    unmatched: str | None = UNMATCHED,
 ) -> DataFrame:
-    """Sum per looked-up name and month, or per other columns in ``by`` (none: plain totals).
-
-    With a small dimension the planner joins by broadcast, map-side, ahead of the
-    one aggregation (no hint is given; both go by the same threshold). With a
-    large one the logs are summed per key and month
-    first: the partial sums run before any shuffle, so a key holding a third of
-    all rows arrives as one row per task and month, and the join only moves
-    monthly rows. Names shared by several keys are summed once more.
+    """Sum per looked-up name(s) and month, or per other columns in ``by`` (none: plain totals).
+
+    The logs are summed per key first: the partial sums run before any shuffle, so a key
+    holding a third of all rows arrives as one row per task and month, and the lookup
+    only moves summed rows, whatever the dimension's size. Names shared by several keys are
+    summed once more. ``count`` names a further column for the number of log rows.
     """
-    names = dimension.select(key, name)
-    if fits_broadcast(names):
-        return totals(lookup(logs, names, key), [name, *by], value)
-    per_key = totals(logs, [key, *by], value)
-    return totals(lookup(per_key, names, key), [name, *by], value)
+    names = [name] if isinstance(name, str) else list(name)
+    per_key = totals(logs, [key, *by], value, count)
+    return totals(lookup(per_key, dimension.select(key, *names), key, unmatched), [*names, *by], value, count)
 
 
 def join_rollups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,18 +79,18 @@ def align(
 
 
 def with_group_totals(
-    df: DataFrame, keys: Sequence[str], totals: Sequence[Column], spread: Sequence[str], salts: int = 32
+    df: DataFrame, keys: Sequence[str], totals: Sequence[Column], spread: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """Every row with its group's aggregates, without gathering a group in one task.
 
     The totals come from a partially combined ``groupBy``. They are joined back
     under a salt taken from the ``spread`` columns, so a group holding a third
-    of all rows is spread over ``salts`` partitions; each total is repeated
-    ``salts`` times to meet it. Null keys form a group of their own.
+    of all rows is spread over ``salts`` partitions (as many as a shuffle has, if not
+    given); each total is repeated ``salts`` times to meet it. Null keys form a group of
+    their own.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = df.groupBy(*keys).agg(*totals)
-    if fits_broadcast(groups):
-        return null_safe_left_join(df, groups, keys)
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     return null_safe_left_join(rows, salted, [*keys, "_salt"]).drop("_salt")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_k(
@@ -15,10 +16,12 @@ def top_k(
     tiebreak: Sequence[str],
     k: int = 1,
     smallest: bool = False,
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """The k largest rows per group; equal values go to the smallest tiebreak, as text.
 
+    Null and NaN values never rank, so a group without any other value has no row.
+
     A ``row_number() <= k`` filter is pruned before the shuffle: each task sends
     at most k rows per group. The planner only does so up to its own limit on
     k; beyond that a first round over salted subgroups keeps any one task from
@@ -26,6 +29,9 @@ def top_k(
     """
     by_value = F.col(value).asc() if smallest else F.col(value).desc()
     order = [by_value, *[F.col(t).cast("string").asc() for t in tiebreak]]
+    df = df.filter(F.col(value).isNotNull())
+    if isinstance(df.schema[value].dataType, (T.FloatType, T.DoubleType)):
+        df = df.filter(~F.isnan(value))
     prune_limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
 
     def keep(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -34,7 +40,7 @@ def top_k(
 
     if k <= prune_limit:
         return keep(df, partition)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts or prune_limit)))
     return keep(keep(salted, [*partition, "_salt"]).drop("_salt"), partition)
 
 

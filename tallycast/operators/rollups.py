@@ -34,20 +34,25 @@ def monthly_rollup(
     )
 
 
-def totals(logs: DataFrame, keys: Sequence[str], value: str = "timelog") -> DataFrame:
-    """Sum of the value per key combination."""
-    return _with_keys(logs, keys).groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias(value))
+def totals(logs: DataFrame, keys: Sequence[str], value: str = "timelog", count: str | None = None) -> DataFrame:
+    """Sum of the value per key combination; ``count`` adds the number of log rows under that name
+    (summed, where the rows are themselves totals with such a column)."""
+    measures = [F.coalesce(F.sum(value), F.lit(0)).alias(value)]
+    if count:
+        measures.append((F.sum(count) if count in logs.columns else F.count(F.lit(1))).alias(count))
+    return (_with_keys(logs, keys) if keys else logs).groupBy(*keys).agg(*measures)
 
 
 def log_cells(logs: DataFrame) -> DataFrame:
     """Sum and row count per user, project and month.
 
     The finest table the reports need: every other rollup is a sum over it, so
-    one scan of the log is enough for all of them.
+    one scan of the log is enough for all of them. Rows without user or without
+    project stay; each rollup leaves out those that lack its own key.
     """
     keys = ["username", "projectid", "projectname", "year", "month_num"]
     return (
-        _with_keys(logs, ["username", "projectname", "year", "month_num"])
+        _with_keys(logs, ["year", "month_num"])
         .groupBy(*keys)
         .agg(F.coalesce(F.sum("timelog"), F.lit(0)).alias("timelog"), F.count(F.lit(1)).alias("n_rows"))
     )
@@ -56,7 +61,7 @@ def log_cells(logs: DataFrame) -> DataFrame:
 def user_months_with_project(cells: DataFrame) -> DataFrame:
     """Monthly hours per user with the row mean of the project id, from ``log_cells``."""
     weighted = F.when(F.col("projectid").isNotNull(), F.col("n_rows"))
-    return cells.groupBy("username", "year", "month_num").agg(
+    return _with_keys(cells, ["username", "year", "month_num"]).groupBy("username", "year", "month_num").agg(
         F.sum("timelog").alias("timelog"),
         F.try_divide(F.sum(F.col("projectid") * weighted), F.sum(weighted)).alias("projectid"),
     )

@@ -51,7 +51,7 @@ def forecast_seasonal_ar(
     # Beyond one year the differences of earlier forecasts add up: phi^h + phi^(h-12) + ...
     carried = f"""aggregate(sequence(0, (step - 1) DIV {SEASON}), 0D,
         (acc, j) -> acc + power(_phi, step - j * {SEASON}))"""
-    status = "ok" if n_months >= 25 else "short_history"
+    status = "IF(n_obs >= 25, 'ok', 'short_history')"
     return future.selectExpr(
         f"`{entity}`",
         "ds",
@@ -59,7 +59,7 @@ def forecast_seasonal_ar(
         "month_num",
         f"_recent[(step - 1) % {SEASON}]._y + {carried} * _last_z AS yhat",
         "n_obs",
-        f"'{status}' AS fit_status",
+        f"{status} AS fit_status",
     )
 
 
@@ -119,10 +119,12 @@ def forecast_seasonal_arma(
 ) -> DataFrame:
     """As ``forecast_seasonal_ar`` with moving-average terms at lags 1 and 12.
 
-    Needs a grid of 36 months; a shorter one, or an estimate that is not
-    finite, gives zeros. No clamp.
+    Needs a grid of 36 months; over a shorter one this is ``forecast_seasonal_ar``.
+    An estimate that is not finite gives zeros. No clamp.
     """
     n_months = (last_year - first_year + 1) * 12
+    if n_months < 36:
+        return forecast_seasonal_ar(monthly, entity, first_year, last_year, value, periods)
     grid = fill_months(monthly, entity, value, first_year, last_year)
     series = grid.groupBy(entity).agg(
         F.count_if("observed").alias("n_obs"),
@@ -134,15 +136,13 @@ def forecast_seasonal_arma(
 
     @F.pandas_udf("array<double>")
     def forecast(batch: pd.Series) -> pd.Series:
-        if n_months < 36:
-            return pd.Series([np.zeros(periods)] * len(batch))
         return pd.Series(list(seasonal_arma_batch(np.stack(batch.to_list()), periods)))
 
     scored = expand_horizon(
         series.withColumn("_path", forecast("_series")), periods, "year", last_year + 1
     ).withColumn("_raw", F.element_at("_path", F.col("step")))
     usable = F.col("_raw").isNotNull() & ~F.isnan("_raw") & (F.abs("_raw") != float("inf"))
-    status = F.lit("short_history") if n_months < 36 else F.when(usable, "ok").otherwise("failed")
+    status = F.when(~usable, "failed").when(F.col("n_obs") < 36, "short_history").otherwise("ok")
     return scored.select(
         entity,
         "ds",

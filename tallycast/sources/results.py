@@ -26,7 +26,7 @@ def write_result(
     entity's forecast.
     """
     path = result_path(base, model, run, table)
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df  # what computes the rows keeps its own tasks
     out.write.mode("overwrite").option("header", True).format(fmt).save(path)
     return path
 
@@ -49,9 +49,14 @@ def read_result(
 
 
 def read_runs(spark: SparkSession, base: str, table: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """One table over all models and runs, with ``model`` and ``run`` columns from the folder names."""
+    """One table over all models and runs, with ``model`` and ``run`` columns from the folder names.
+
+    As in ``read_result``, a bad cell or a header that differs from the schema fails the read.
+    """
     keyed = T.StructType(
         [*schema.fields, T.StructField("model", T.StringType()), T.StructField("run", T.StringType())]
     )
     reader = spark.read.schema(keyed).option("header", True).option("basePath", base)
+    if fmt == "csv":
+        reader = reader.option("enforceSchema", False).option("mode", "FAILFAST")
     return reader.format(fmt).load(result_path(base, "*", "*", table))

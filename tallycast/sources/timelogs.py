@@ -20,7 +20,7 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
             .option("mode", "FAILFAST")
             .csv(path)
         )
-    return spark.read.format(fmt).load(path)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def parse_date(df: DataFrame, col: str = "date") -> DataFrame:

@@ -16,13 +16,15 @@ from tallycast.operators.rollups import monthly_rollup
 
 
 def stream_logs(
-    spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", pattern: str | None = None
+    spark: SparkSession, table: str, schema: StructType, fmt: str = "parquet", pattern: str | None = None
 ) -> DataFrame:
-    """A file stream over a folder of logs."""
+    """A file stream over a table: a folder of log files, or a single file."""
     reader = spark.readStream.schema(schema).format(fmt).option("header", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(folder)
+    # Written as a pattern that matches the table alone: a plain path would have to be a folder.
+    path = table.rstrip("/")
+    return reader.load(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_monthly_rollup(logs: DataFrame, entity: str, out: str, value: str = "timelog") -> None:

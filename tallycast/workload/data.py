@@ -14,8 +14,8 @@ from tallycast.storage import materialise, scratch_path
 from tallycast.streaming import rollup as rollup_stream
 from tallycast.workload.common import (
     FIRST_YEAR,
-    LAST_TRAIN_YEAR,
     MONTH_LIST,
+    TARGET_YEAR,
     full_logs_cte,
     grid_ctes,
     month_name_sql,
@@ -123,6 +123,23 @@ def a4_versioned_results(spark, folder):
     return results.read_runs(spark, base, "totals", users.schema)
 
 
+@query(
+    "a4_read_runs_checked",
+    sql(
+        project_months_ctes(),
+        """SELECT 'history' AS model, CASE WHEN year <= 1999 THEN 'early' ELSE 'late' END AS run, projectname,
+  CAST(sum(timelog) AS BIGINT) AS timelog, count(*) AS n_rows FROM project_months GROUP BY 1, 2, 3""",
+    ),
+)
+def a4_read_runs_checked(spark, folder):
+    """Two runs of one table, read together with their headers and cells checked."""
+    monthly, base = materialise(star.project_months(spark, folder)), scratch_path(spark, "results")
+    for run, part in (("early", monthly.filter("year <= 1999")), ("late", monthly.filter("year > 1999"))):
+        results.write_result(part, base, "history", run, "project_months")
+    read = results.read_runs(spark, base, "project_months", monthly.schema)
+    return rollups.totals(read, ["model", "run", "projectname"], count="n_rows")
+
+
 @query(
     "a5_reread_for_ranking",
     sql(
@@ -162,8 +179,9 @@ FROM user_logs GROUP BY year""",
     ),
 )
 def b1_year_range(spark, folder):
-    logs = filters.year_between(star.user_logs(spark, folder), 1997, 2001)
-    return logs.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("timelog").alias("timelog"))
+    logs = filters.year_between(star.line_logs(spark, folder), 1997, 2001)
+    users = joins.rollup_by_lookup(logs, star.suppliers(spark, folder), "suppkey", "username", by=["year"], count="n_rows")
+    return rollups.totals(users, ["year"], count="n_rows")
 
 
 @query(
@@ -204,7 +222,7 @@ FROM full_logs GROUP BY username, year, month_num""",
     ),
 )
 def b4_series_columns(spark, folder):
-    monthly = rollups.monthly_rollup(star.full_logs(spark, folder), "username", means=["projectid"])
+    monthly = rollups.user_months_with_project(star.cells(spark, folder))
     return tidy(filters.as_series(monthly, "username", regressors=["projectid"]))
 
 
@@ -271,12 +289,8 @@ FROM project_logs WHERE timelog - 10 > 0 GROUP BY projectname""",
     ),
 )
 def b8_positive_rows(spark, folder):
-    net = star.project_logs(spark, folder).withColumn("timelog", F.col("timelog") - 10)
-    return (
-        filters.positive_only(net)
-        .groupBy("projectname")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("timelog").alias("timelog"))
-    )
+    net = filters.positive_only(star.line_logs(spark, folder).withColumn("timelog", F.col("timelog") - 10))
+    return joins.rollup_by_lookup(net, star.parts(spark, folder), "partkey", "projectname", by=(), count="n_rows")
 
 
 @query(
@@ -353,9 +367,9 @@ FROM hours JOIN means USING (username, year, month_num)""",
     ),
 )
 def c1_join_rollups(spark, folder):
-    keys = ["username", "year", "month_num"]
-    means = star.full_logs(spark, folder).groupBy(*keys).agg(F.avg("projectid").alias("projectid"))
-    return tidy(joins.join_rollups(star.user_months(spark, folder), means, keys))
+    keys, cells = ["username", "year", "month_num"], materialise(star.cells(spark, folder))
+    means = rollups.user_months_with_project(cells).select(*keys, "projectid")
+    return tidy(joins.join_rollups(rollups.monthly_rollup(cells, "username"), means, keys))
 
 
 @query(
@@ -367,9 +381,22 @@ FROM project_logs GROUP BY projectid, projectname""",
     ),
 )
 def c2_project_lookup(spark, folder):
-    logs = joins.lookup(star.line_logs(spark, folder), star.parts(spark, folder), "partkey")
-    return logs.groupBy("projectid", "projectname").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("timelog").alias("timelog")
+    names = ["projectid", "projectname"]
+    return joins.rollup_by_lookup(
+        star.line_logs(spark, folder), star.parts(spark, folder), "partkey", names, by=(), count="n_rows"
+    )
+
+
+@query(
+    "c2_lookup_unmatched",
+    """SELECT coalesce(p_brand, '(unmatched)') AS projectname, count(*) AS n_rows, CAST(sum(l_quantity) AS BIGINT) AS timelog
+FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey GROUP BY 1""",
+)
+def c2_lookup_unmatched(spark, folder):
+    """A dimension that lacks a third of the keys: their rows are kept under a name of their own."""
+    lacking = star.parts(spark, folder).filter("partkey % 3 <> 0")
+    return joins.rollup_by_lookup(
+        star.line_logs(spark, folder), lacking, "partkey", "projectname", by=(), count="n_rows"
     )
 
 
@@ -408,6 +435,52 @@ def d1_user_months(spark, folder):
     return star.user_months(spark, folder)
 
 
+_HALF_LOGS = """half_logs AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_suppkey AS VARCHAR) END AS username,
+  CASE WHEN l_linenumber = 2 THEN NULL ELSE CAST(l_partkey % 25 AS INTEGER) END AS projectid,
+  CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month_num,
+  CAST(l_quantity AS BIGINT) AS timelog FROM lineitem)"""
+
+
+@query(
+    "d1_cells_rollup",
+    sql(
+        [_HALF_LOGS],
+        f"""SELECT 'user' AS side, username AS name, year, month_num, CAST(sum(timelog) AS BIGINT) AS timelog,
+  {r4("coalesce(avg(projectid), -1)")} AS projectid FROM half_logs WHERE username IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'project', CAST(projectid AS VARCHAR), year, month_num, CAST(sum(timelog) AS BIGINT),
+  CAST(-1 AS DOUBLE) FROM half_logs WHERE projectid IS NOT NULL GROUP BY projectid, year, month_num""",
+    ),
+)
+def d1_cells_rollup(spark, folder):
+    """The cells behind a report, over logs that lack a user or a project here and there."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    logs = lines.select(
+        F.when(F.col("l_linenumber") != 1, F.col("l_suppkey").cast("string")).alias("username"),
+        F.when(F.col("l_linenumber") != 2, (F.col("l_partkey") % 25).cast("int")).alias("projectid"),
+        F.year("l_shipdate").alias("year"),
+        F.month("l_shipdate").alias("month_num"),
+        F.col("l_quantity").cast("long").alias("timelog"),
+    ).withColumn("projectname", F.col("projectid").cast("string"))
+    cells = rollups.log_cells(logs)
+    users = rollups.user_months_with_project(cells).select(
+        F.lit("user").alias("side"),
+        F.col("username").alias("name"),
+        "year",
+        "month_num",
+        "timelog",
+        F.coalesce("projectid", F.lit(-1.0)).alias("projectid"),
+    )
+    projects = rollups.monthly_rollup(cells, "projectname").select(
+        F.lit("project").alias("side"),
+        F.col("projectname").alias("name"),
+        "year",
+        "month_num",
+        "timelog",
+        F.lit(-1.0).alias("projectid"),
+    )
+    return tidy(users.unionByName(projects))
+
+
 @query(
     "d1_stream_part_months",
     sql(part_months_ctes(), "SELECT partkey, year, month_num, timelog FROM part_months"),
@@ -415,7 +488,7 @@ def d1_user_months(spark, folder):
 def d1_stream_part_months(spark, folder):
     """The rollup fed by a file stream over the line items."""
     schema = spark.read.parquet(f"{folder}/lineitem.parquet").schema
-    lines = rollup_stream.stream_logs(spark, folder, schema, pattern="lineitem.parquet")
+    lines = rollup_stream.stream_logs(spark, f"{folder}/lineitem.parquet", schema)
     out = scratch_path(spark, "stream")
     rollup_stream.run_monthly_rollup(star.as_line_logs(lines), "partkey", out)
     return rollup_stream.month_deltas(spark, "partkey", out)
@@ -438,7 +511,7 @@ FROM full_logs GROUP BY projectname, username""",
     ),
 )
 def d3_project_user_totals(spark, folder):
-    return rollups.totals(star.full_logs(spark, folder), ["projectname", "username"])
+    return rollups.totals(star.cells(spark, folder, by=()), ["projectname", "username"])
 
 
 @query(
@@ -472,7 +545,7 @@ def d5_user_totals(spark, folder):
     ),
 )
 def d6_mean_project(spark, folder):
-    return tidy(rollups.monthly_rollup(star.full_logs(spark, folder), "username", means=["projectid"]))
+    return tidy(rollups.user_months_with_project(star.cells(spark, folder)))
 
 
 @query(
@@ -647,7 +720,7 @@ _PROJECT_USERS = [
 )
 def e2_top_user_per_project(spark, folder):
     return ranking.top_user_per_project(
-        rollups.totals(star.full_logs(spark, folder), ["projectname", "username"])
+        rollups.totals(star.cells(spark, folder, by=()), ["projectname", "username"])
     )
 
 
@@ -665,7 +738,7 @@ def e5_top3_users_per_month(spark, folder):
 @query(
     "e6_lag_windows",
     sql(
-        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username", 1995, 2000)],
+        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username", 1995, 2001)],
         """SELECT t.username, t.month_idx, CAST(t.timelog AS BIGINT) AS target,
   CAST(12 - (t.month_idx - l.month_idx) AS INTEGER) AS pos, CAST(l.timelog AS BIGINT) AS lag
 FROM grid t JOIN grid l ON l.username = t.username
@@ -674,7 +747,7 @@ WHERE t.month_idx >= 1995 * 12 + 12""",
     ),
 )
 def e6_lag_windows(spark, folder):
-    grid = grids.fill_months(star.user_months(spark, folder), "username", "timelog", FIRST_YEAR, LAST_TRAIN_YEAR)
+    grid = grids.fill_months(star.user_months(spark, folder), "username", "timelog", FIRST_YEAR, TARGET_YEAR)
     framed = windows.lag_windows(grid.select("username", "month_idx", "timelog"), "username", "timelog")
     return framed.select("username", "month_idx", "target", F.posexplode("lags").alias("pos", "lag"))
 
@@ -711,13 +784,13 @@ def f1_calendar_order(spark, folder):
 @query(
     "f2_month_order",
     sql(
-        [project_logs_cte(2001, 2001)],
+        [project_logs_cte()],
         f"""SELECT month_num, {month_name_sql("month_num")} AS month, CAST(sum(timelog) AS BIGINT) AS timelog
 FROM project_logs GROUP BY month_num ORDER BY month_num""",
     ),
 )
 def f2_month_order(spark, folder):
-    totals = rollups.totals(star.project_months(spark, folder, 2001, 2001), ["month_num"])
+    totals = rollups.totals(star.project_months(spark, folder), ["month_num"])
     return totals.select("month_num", cal.month_name(F.col("month_num")).alias("month"), "timelog").orderBy(
         "month_num"
     )
@@ -918,12 +991,11 @@ FROM user_logs GROUP BY username, month_num""",
 )
 def k1_element_functions(spark, folder):
     """Name from number and number from name, both as built-in expressions."""
-    named = star.user_logs(spark, folder).select("username", cal.month_name(F.col("month_num")).alias("month"))
-    return (
-        named.withColumn("month_num", cal.month_number(F.col("month")))
-        .groupBy("username", "month", "month_num")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = joins.rollup_by_lookup(
+        star.line_logs(spark, folder), star.suppliers(spark, folder), "suppkey", "username", by=["month_num"], count="n_rows"
     )
+    named = counted.select("username", cal.month_name(F.col("month_num")).alias("month"), "n_rows")
+    return named.select("username", "month", cal.month_number(F.col("month")).alias("month_num"), "n_rows")
 
 
 # ---- M: apportionment, scaffolds, classes ---------------------------------------------
@@ -965,8 +1037,10 @@ FROM days d LEFT JOIN logged l USING (username, date) GROUP BY ALL""",
 )
 def m2_day_scaffold(spark, folder):
     """Calendar days per user and month, and on how many of them something was logged."""
-    logged = star.user_logs(spark, folder).groupBy("username", "date").agg(F.sum("timelog").alias("timelog"))
-    days = grids.day_scaffold(star.active_users(spark, folder), "username", 1995, 2001)
+    logged = joins.rollup_by_lookup(
+        star.line_logs(spark, folder), star.suppliers(spark, folder), "suppkey", "username", by=["date"]
+    )
+    days = grids.day_scaffold(logged.select("username").distinct(), "username", 1995, 2001)
     joined = days.join(logged, ["username", "date"], "left")
     return joined.groupBy("username", F.year("date").alias("year"), F.month("date").alias("month_num")).agg(
         F.count(F.lit(1)).alias("n_days"),

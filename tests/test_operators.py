@@ -327,3 +327,32 @@ def test_series_and_predictions_spelling(spark):
     assert rows(filters.as_series(df, "entity")) == [("a", dt.date(2020, 2, 1), 5)]
     forecast = spark.createDataFrame([("a", 2025, 2, 1.5)], "entity string, year int, month_num int, yhat double")
     assert filters.as_predictions(forecast, "entity").columns == ["entity", "month", "predicted_hours", "year"]
+
+
+def test_lookup_keeps_unmatched_rows(spark):
+    logs = spark.createDataFrame([(1, 5), (2, 7), (None, 1)], "key long, timelog long")
+    names = spark.createDataFrame([(1, "one", 10)], "key long, name string, code int")
+    got = joins.lookup(logs, names, "key")
+    assert rows(got, "name", "code", "timelog") == [(joins.UNMATCHED, None, 1), (joins.UNMATCHED, None, 7), ("one", 10, 5)]
+    assert joins.lookup(logs, names, "key", unmatched=None).count() == 1
+    assert rows(joins.lookup(logs, names, "key", unmatched="?"), "name") == [("?",), ("?",), ("one",)]
+
+
+def test_cells_keep_rows_with_one_side(spark):
+    data = [("a", 1, "p", 3), ("a", None, None, 7), (None, 1, "p", 11)]
+    logs = spark.createDataFrame(data, "username string, projectid int, projectname string, timelog long").selectExpr(
+        "*", "2000 AS year", "1 AS month_num"
+    )
+    cells = rollups.log_cells(logs)
+    assert rows(rollups.user_months_with_project(cells), "username", "timelog", "projectid") == [("a", 10, 1.0)]
+    assert rows(rollups.monthly_rollup(cells, "projectname"), "projectname", "timelog") == [("p", 14)]
+
+
+def test_ranks_skip_nan_and_null(spark):
+    from tallycast.operators.ranking import top_k
+
+    data = [("g", "a", float("nan")), ("g", "b", 5.0), ("g", "c", None), ("h", "a", float("nan"))]
+    df = spark.createDataFrame(data, "k string, name string, v double")
+    assert rows(top_k(df, ["k"], "v", ["name"]), "name", "v") == [("b", 5.0)]
+    assert rows(top_k(df, ["k"], "v", ["name"], smallest=True), "name", "v") == [("b", 5.0)]
+    assert rows(top_k(df, ["k"], "v", ["name"], k=2000), "name", "v") == [("b", 5.0)]

@@ -45,21 +45,21 @@ def test_scan_reads_three_columns_and_pushes_the_year_range(spark, capsys):
 )
 def test_a_forecast_is_one_shuffle_beyond_the_rollup(spark, forecast):
     keys = shuffles(forecast(star.user_months(spark, FOLDER, None, 2000)))
-    assert len(keys) == 2
-    assert sum("," in k.replace(", 4", "") for k in keys) == 1  # (user, year, month), then the user alone
+    assert len(keys) == 3
+    assert sum("," in k.replace(", 4", "") for k in keys) == 2  # months by key, months by user, then the user alone
 
 
 def test_regressors_add_no_shuffle(spark):
     monthly = star.user_months(spark, FOLDER, None, 2000).withColumn("x", F.col("month_num") * 2.0)
     forecast = forecast_seasonal_trend(monthly, "username", regressors=["x"], target_year=2001)
-    assert len(shuffles(forecast)) == 2
+    assert len(shuffles(forecast)) == 3
 
 
 def test_flagship_prunes_winners_before_the_shuffle(spark):
     forecast = forecast_ols(star.user_months(spark, FOLDER, None, 2000), "username", 2001)
     df = ranking.top_predicted(forecast, "username")
     plan = plan_of(df)
-    assert plan.count("WindowGroupLimit") == 2 and len(shuffles(df)) == 3
+    assert plan.count("WindowGroupLimit") == 2 and len(shuffles(df)) == 4
     assert "partial_covar_pop" in plan
 
 
@@ -68,3 +68,19 @@ def test_rollup_beyond_broadcast_shuffles_sums_only(spark, no_broadcast):
     plan = plan_of(df)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert plan.rindex("partial_sum") > plan.index("SortMergeJoin")
+
+
+def test_two_lookups_shuffle_raw_rows_never_and_scan_once(spark, no_broadcast):
+    """Below the first sum lies the scan; every join and every later exchange moves sums."""
+    from tallycast.operators import rollups
+    from tallycast.workload import queries
+
+    for name in ("b4_series_columns", "d3_project_user_totals", "d6_mean_project", "i8_seasonal_trend_regressor"):
+        plan = plan_of(queries()[name](spark, FOLDER))
+        scan = plan.rindex("l_suppkey")
+        below = plan[plan.rindex("Exchange hashpartitioning", 0, scan) : scan]
+        assert "partial_" in below and "Join" not in below, name
+    df = rollups.user_months_with_project(star.cells(spark, FOLDER))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert final.count("l_suppkey#") and len(re.findall(r"FileScan parquet \[l_suppkey", final.split("Initial Plan")[0])) == 1

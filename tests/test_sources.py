@@ -85,3 +85,51 @@ def test_materialise_keeps_rows_and_cuts_lineage(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert kept.count() == 7 and "Range" not in plan
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_stream_reads_a_table_of_part_files(spark, tmp_path):
+    from tallycast.streaming import rollup
+
+    logs = spark.range(600).selectExpr("id % 5 AS partkey", "2000 AS year", "CAST(1 + id % 12 AS INT) AS month_num", "id AS timelog")
+    logs.repartition(4).write.parquet(str(tmp_path / "logs.parquet"))
+    stream = rollup.stream_logs(spark, str(tmp_path / "logs.parquet"), logs.schema)
+    rollup.run_monthly_rollup(stream, "partkey", str(tmp_path / "out"))
+    got = rollup.month_deltas(spark, "partkey", str(tmp_path / "out"))
+    assert got.count() == 60 and got.agg({"timelog": "sum"}).first()[0] == 600 * 599 // 2
+
+
+def test_read_runs_fails_on_bad_cells_and_headers(spark, tmp_path):
+    import pytest
+
+    from tallycast.sources import results
+
+    base = str(tmp_path / "base")
+    results.write_result(spark.createDataFrame([("A", "7"), ("B", "notanumber")], "name string, v string"), base, "m", "r", "t")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        results.read_runs(spark, base, "t", spark.createDataFrame([], "name string, v int").schema).collect()
+    with pytest.raises(Exception):  # noqa: B017
+        results.read_runs(spark, base, "t", spark.createDataFrame([], "other string, v string").schema).collect()
+
+
+def test_fractions_are_kept_or_refused(spark):
+    import pytest
+
+    from tallycast.sources.star import as_line_logs
+
+    lines = spark.sql("SELECT 1L AS l_suppkey, 2L AS l_partkey, 0.75D AS l_quantity, TIMESTAMP_NTZ'2000-01-02' AS l_shipdate")
+    assert as_line_logs(lines, whole_hours=False).first().timelog == 0.75
+    with pytest.raises(Exception, match="no whole number"):
+        as_line_logs(lines).collect()
+    assert as_line_logs(lines.selectExpr("* EXCEPT (l_quantity)", "CAST(NULL AS DOUBLE) AS l_quantity")).first().timelog is None
+
+
+def test_kept_tables_lie_in_the_named_folder_and_take_filters(spark):
+    from tallycast.storage import drop_scratch, shared_folder
+
+    path = scratch_path(spark, "x")
+    assert path.startswith(shared_folder(spark))
+    spark.range(10).write.parquet(path)
+    drop_scratch(spark, path)
+    kept = materialise(spark.range(100).selectExpr("id % 7 AS year", "id AS v")).filter("year > 3").select("year")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(year,3)" in plan and "ReadSchema: struct<year:bigint>" in plan
