@@ -35,6 +35,7 @@ HEADLINE = [
     "i1_ols_ordinal_users",
     "i3_ols_rebased_users",
     "i4_ols_standardised_users",
+    "i5_pooled_hinges",
     "i5_pooled_trees",
     "i6a_seasonal_ar_users",
     "i6b_seasonal_arma",

@@ -33,8 +33,12 @@ def month_number(name: Column, truncate: bool = False) -> Column:
 
 
 def month_name(number: Column) -> Column:
-    """'Jan'..'Dec' for 1..12; any other number fails under ANSI mode."""
-    return F.element_at(_names(), number.cast("int"))
+    """'Jan'..'Dec' for 1..12, null for null; any other number fails under ANSI mode.
+
+    The test for null is spelled out: the planner takes an element of an array without
+    nulls for never null, even at a null position, and would fold later null tests away.
+    """
+    return F.when(number.isNotNull(), F.element_at(_names(), number.cast("int")))
 
 
 def month_name_of(date: Column) -> Column:

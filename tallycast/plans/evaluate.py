@@ -61,14 +61,35 @@ def stack_models(forecasts: Mapping[str, DataFrame]) -> DataFrame:
 def compare_models(
     forecasts: Mapping[str, DataFrame], actual: DataFrame, entity: str, value: str = "timelog"
 ) -> DataFrame:
-    """Every forecast row beside its actual: (model, entity, year, month_num, predicted, actual)."""
+    """Every forecast row beside its actual: (model, entity, year, month_num, predicted, actual, compared).
+
+    ``compared`` marks the months of an entity that every model predicts and that have an
+    actual value, so that errors over them are taken from the same months for all models.
+    """
     known = actual.select(entity, "year", "month_num", F.col(value).cast("double").alias("actual"))
     predicted = stack_models(forecasts).select(
         "model", entity, "year", "month_num", F.col("yhat").alias("predicted")
     )
-    return predicted.join(known, [entity, "year", "month_num"], "left")
+    keys = [entity, "year", "month_num"]
+    covered = predicted.groupBy(*keys).agg((F.count_distinct("model") == len(forecasts)).alias("_all"))
+    beside = covered.join(known, keys, "left")
+    compared = F.col("_all") & F.col("actual").isNotNull()
+    return predicted.join(beside.withColumn("compared", compared).drop("_all"), keys)
+
 
+def model_errors(compared: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``accuracy`` per model over the months that all models cover, with the share of each
+    model's own predicted months that they are (``coverage``)."""
+    groups = [*keys, "model"]
+    shares = compared.groupBy(*groups).agg(F.avg(F.col("compared").cast("double")).alias("coverage"))
+    return accuracy(compared.filter("compared"), groups).join(shares, groups)
 
-def best_model(aligned: DataFrame, entity: str, by: str = "rmse") -> DataFrame:
-    """The model with the smallest error per entity; equal errors go to the first name."""
-    return top_k(accuracy(aligned, [entity, "model"]), [entity], by, ["model"], smallest=True)
+
+def best_model(compared: DataFrame, entity: str, by: str = "rmse", digits: int = 4) -> DataFrame:
+    """The model with the smallest error per entity, from ``compare_models``.
+
+    Errors that agree to ``digits`` are equal, and go to the first name: models that are the
+    same line in other units differ in their last bits only.
+    """
+    errors = model_errors(compared, [entity]).withColumn("_rounded", F.round(by, digits))
+    return top_k(errors, [entity], "_rounded", ["model"], smallest=True).drop("_rounded")

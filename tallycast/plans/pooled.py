@@ -8,6 +8,9 @@ the log is read once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -102,6 +105,71 @@ def forecast_pooled_ar(
     )
 
 
+# Joints of the year's bends and of the two waves, in standard units.
+_YEAR_JOINTS, _WAVE_JOINTS = (-1.0, 0.0, 1.0), (0.0,)
+HINGE_FEATURES = 3 + len(_YEAR_JOINTS) + 2 * len(_WAVE_JOINTS)
+
+
+def _hinge_features(df: DataFrame) -> list[Column]:
+    sin, cos = cyclic_month(F.col("month_num"))
+    year = (F.col("year") - F.col("year_mean")) / F.col("year_std")
+    bends = [F.greatest(F.lit(0.0), year - k) for k in _YEAR_JOINTS]
+    waves = [F.greatest(F.lit(0.0), wave - k) for wave in (sin, cos) for k in _WAVE_JOINTS]
+    return [year, sin, cos, *bends, *waves]
+
+
+def forecast_pooled_hinges(
+    monthly: DataFrame, entity: str, target_year: int, value: str = "timelog", min_rows: int = 3
+) -> DataFrame:
+    """One hidden layer of fixed rectified units over all entities, its output weights fitted exactly.
+
+    Inputs are the year, standardised over all rows, and the cyclic month; units bend at fixed
+    joints. Each entity's values are standardised by its own mean and deviation, so one set of
+    weights (Spark ML's normal equations) serves all. Entities below ``min_rows`` values get
+    zeros; predictions are clamped at zero.
+    """
+    rows = monthly.select(entity, "year", "month_num", F.col(value).cast("double").alias("_y")).filter("_y IS NOT NULL")
+    level = rows.groupBy(entity).agg(
+        F.count("_y").alias("n_obs"),
+        F.avg("_y").alias("y_mean"),
+        F.expr("if(stddev_pop(_y) > 0, stddev_pop(_y), 1D)").alias("y_std"),
+    )
+    history = materialise(rows.join(level, entity), "hinges")
+    span = history.agg(F.avg("year").alias("m"), F.stddev_pop("year").alias("s")).first()
+    mean, spread = span.m or 0.0, span.s or 1.0
+    shared = {"year_mean": F.lit(float(mean)), "year_std": F.lit(float(spread))}
+    names = [f"h{i}" for i in range(HINGE_FEATURES)]
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+
+    def with_features(df: DataFrame) -> DataFrame:
+        wide = df.withColumns(shared)
+        return wide.withColumns(dict(zip(names, _hinge_features(wide))))
+
+    train = with_features(history.filter(F.col("n_obs") >= min_rows)).withColumn(
+        "label", (F.col("_y") - F.col("y_mean")) / F.col("y_std")
+    )
+    future = with_features(
+        expand_horizon(history.select(entity, "n_obs", "y_mean", "y_std").dropDuplicates([entity]), 12, "year", target_year)
+    )
+    if train.isEmpty():
+        raw = F.lit(0.0)
+    else:
+        fitted = LinearRegression(solver="normal", regParam=0.0).fit(assembler.transform(train).select("features", "label"))
+        weighed = [F.lit(float(w)) * F.col(n) for w, n in zip(fitted.coefficients, names)]
+        shape = reduce(add, weighed, F.lit(float(fitted.intercept)))
+        raw = finite_or_zero(F.col("y_mean") + F.col("y_std") * shape)
+    shortened = F.col("n_obs") < min_rows
+    return future.select(
+        entity,
+        "ds",
+        "year",
+        "month_num",
+        F.when(shortened, 0.0).otherwise(clamp_zero(raw)).alias("yhat"),
+        "n_obs",
+        F.when(shortened, "short_history").otherwise("ok").alias("fit_status"),
+    )
+
+
 _TREE_FEATURES = ["year_z", "month_sin", "month_cos", "variation", "trend"]
 
 
@@ -158,7 +226,7 @@ def forecast_pooled_gbt(
     model = GBTRegressor(maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed).fit(
         assembler.transform(train).select("features", "label")
     )
-    entities = history.drop("year", "month_num", "_y").distinct()
+    entities = history.drop("year", "month_num", "_y").dropDuplicates([entity])  # the rest is equal per entity
     future = _tree_features(expand_horizon(entities, 12, "year", target_year))
     scored = model.transform(assembler.transform(future))
     raw = finite_or_zero(F.col("y_mean") + F.col("y_std") * F.col("prediction"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.calendar import month_name
-from tallycast.operators import charts, filters, ranking, rollups
+from tallycast.operators import charts, filters, quality, ranking, rollups
 from tallycast.operators.quality import require_rows
 from tallycast.plans import evaluate, pooled, seasonal_ar, seasonal_trend
 from tallycast.plans.least_squares import KINDS, forecast_ols
@@ -46,10 +46,31 @@ MODELS: dict[str, Forecaster] = {
     "seasonal_trend": _seasonal_trend,
     "seasonal_trend_regressor": _with_project_mean,
     "pooled_ar": lambda m, e, first, target: pooled.forecast_pooled_ar(m, e, target, first_year=first),
+    "pooled_hinges": lambda m, e, first, target: pooled.forecast_pooled_hinges(m, e, target),
     "pooled_gbt": lambda m, e, first, target: pooled.forecast_pooled_gbt(m, e, target),
 }
 
 
+def _checks(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nulls per column, and counts of rows without a usable month or year, by reason.
+
+    A month number outside 1..12 fails the run here, before anything is predicted from it."""
+    months = logs.withColumn("month", month_name(F.col("month_num")))
+    unusable = quality.calendar_violations(months).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+    return quality.null_audit(logs), unusable
+
+
+def _holdout(tested: DataFrame, entity: str) -> DataFrame:
+    """The tested year by month: totals, and the entity that was and was predicted to be first."""
+    keys = ["year", "month_num"]
+    totals = tested.groupBy(*keys).agg(F.sum("predicted").alias("predicted"), F.sum("actual").alias("actual"))
+    out = totals
+    for side in ("predicted", "actual"):
+        first = ranking.top_predicted(tested, entity, side)
+        out = out.join(first.select(*keys, F.col(entity).alias(f"first_{side}")), keys, "left")
+    return out.orderBy(*keys)
+
+
 def run_report(
     logs: DataFrame,
     base: str,
@@ -59,13 +80,18 @@ def run_report(
     last_year: int,
     backtest: bool = False,
     fmt: str = "csv",
+    limit: int = 160,
 ) -> dict[str, str]:
     """Analyse the years first_year..last_year and predict the year after.
 
-    Returns table name -> path. With ``backtest`` the last year is also
-    predicted from the years before it and set beside what happened.
+    Returns table name -> path. Every run also writes its checks (nulls per column,
+    rows whose month or year is unusable, user months above ``limit`` hours), the year by
+    month matrices, and totals per block of years. With ``backtest`` the last year is also
+    predicted from the years before it and set beside what happened, per entity and
+    for the month's winners and totals.
     """
     forecaster, target = MODELS[model], last_year + 1
+    years = list(range(first_year, last_year + 1))
     cells = materialise(rollups.log_cells(filters.year_between(logs, first_year, last_year)))
     users = rollups.user_months_with_project(cells)
     projects = rollups.monthly_rollup(cells, "projectname")
@@ -77,6 +103,11 @@ def run_report(
     def named(df: DataFrame, *columns: str) -> DataFrame:
         return df.withColumn("month", month_name(F.col("month_num"))).select(*columns)
 
+    audit, unusable = _checks(logs)
+    save("null_audit", audit, small=True)
+    save("month_violations", unusable, small=True)
+    save("limit_violations", named(quality.limit_violations(users, limit), "username", "year", "month", "timelog"))
+
     top_users = ranking.top_user_per_month(users)
     save(
         "historical_top_users",
@@ -90,6 +121,12 @@ def run_report(
     save("historical_projects", named(projects, "year", "month", "projectname", "timelog"))
     totals = rollups.monthly_total(projects, expand_months=True)
     save("historical_month_totals", named(totals, "year", "month", "timelog"), small=True)
+    for table, monthly in (("matrix_top_users", top_users), ("matrix_month_totals", totals)):
+        matrix = named(charts.year_month_matrix(monthly, years), "month_num", "month", *[f"`{y}`" for y in years])
+        save(table, matrix.orderBy("month_num").drop("month_num"), small=True)
+    blocks = totals.withColumn("block", charts.block_label(F.col("year"), first_year, last_year))
+    by_block = rollups.totals(blocks, ["block", "month_num"])
+    save("block_month_totals", named(by_block, "block", "month", "timelog"), small=True)
 
     for kind, entity, monthly in [("users", "username", users), ("projects", "projectname", projects)]:
         # All predictions are kept; winners and totals are read off the kept table.
@@ -115,4 +152,5 @@ def run_report(
             )
             save(f"backtest_{kind}", tested)
             save(f"accuracy_{kind}", evaluate.accuracy(tested, [entity]))
+            save(f"holdout_{kind}", _holdout(tested, entity), small=True)
     return paths

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallycast.functions.calendar import MONTHS
+
 # The last full year of the tables is the training end; the year after is predicted.
 FIRST_YEAR = 1995
 LAST_TRAIN_YEAR = 2000
@@ -98,7 +100,7 @@ def part_months_ctes(first=None, last=None) -> list[str]:
     return [logs, rollup_cte("part_months", "part_logs", "partkey")]
 
 
-MONTH_LIST = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
+MONTH_LIST = "[" + ",".join(f"'{name}'" for name in MONTHS) + "]"
 
 
 def month_name_sql(expr: str) -> str:
@@ -271,6 +273,27 @@ def pooled_ar_ctes(p: str, source: str, entity: str, first: int, last: int) -> l
     ]
 
 
+def pooled_hinge_ctes(p: str, source: str, entity: str, target: int) -> list[str]:
+    """CTE chain ending in ``p``: pooled least squares on hinges of the year and the cyclic month."""
+    year = "((year - year_mean) / year_std)"
+    wave = ["sin(2 * pi() * month_num / 12)", "cos(2 * pi() * month_num / 12)"]
+    units = [year, *wave, *[f"greatest(0, {year} - ({k}))" for k in (-1, 0, 1)], *[f"greatest(0, {w})" for w in wave]]
+    x = ", ".join(f"CAST({u} AS DOUBLE)" for u in units)
+    n = len(units) + 1
+    return [
+        f"""{p}_e AS (SELECT {entity}, count(*) AS n_obs, avg(timelog) AS y_mean,
+  CASE WHEN stddev_pop(timelog) > 0 THEN stddev_pop(timelog) ELSE 1 END AS y_std FROM {source} GROUP BY {entity})""",
+        f"{p}_s AS (SELECT avg(year) AS year_mean, stddev_pop(year) AS year_std FROM {source})",
+        f"""{p}_v AS (SELECT 1 AS one, [{x}, 1, (timelog - y_mean) / y_std] AS v
+  FROM {source} JOIN {p}_e USING ({entity}), {p}_s WHERE n_obs >= 3)""",
+        *solve_ctes(f"{p}_w", f"{p}_v", "one", n),
+        f"""{p} AS (SELECT {entity}, CAST({target} AS INTEGER) AS year, month_num, n_obs,
+  CASE WHEN n_obs < 3 THEN 0 ELSE greatest(0, y_mean + y_std * list_dot_product([{x}, 1], coef)) END AS yhat,
+  CASE WHEN n_obs < 3 THEN 'short_history' ELSE 'ok' END AS fit_status
+  FROM (SELECT e.*, s.*, w.coef, t.month_num, {target} AS year FROM {p}_e e, {p}_s s, {p}_w w, {TWELVE} t))""",
+    ]
+
+
 def seasonal_arma_ctes(p: str, source: str, entity: str, first: int, last: int) -> list[str]:
     """CTE chain ending in ``p``: seasonal difference, AR(1), MA at lags 1 and 12 by two regressions."""
     n = (last - first) * 12

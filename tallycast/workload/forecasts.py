@@ -19,6 +19,7 @@ from tallycast.workload.common import (
     ols_ctes,
     part_months_ctes,
     pooled_ar_ctes,
+    pooled_hinge_ctes,
     project_months_ctes,
     r4,
     round4,
@@ -228,6 +229,18 @@ def b16_require_rows(spark, folder):
 # ---- I5-I9: the other model families ----------------------------------------------------
 
 
+@query(
+    "i5_pooled_hinges",
+    sql(
+        [*USER_TRAIN, *pooled_hinge_ctes("f", "user_months", "username", TARGET_YEAR)],
+        _forecast_rows("username", extra=", fit_status"),
+    ),
+)
+def i5_pooled_hinges(spark, folder):
+    forecast = pooled.forecast_pooled_hinges(_users(spark, folder), "username", TARGET_YEAR)
+    return tidy(forecast, "username", *_OLS_COLUMNS)
+
+
 @query("i5_pooled_trees")
 def i5_pooled_trees(spark, folder):
     return tidy(pooled.forecast_pooled_gbt(_users(spark, folder), "username", TARGET_YEAR), "username", *_COLUMNS)
@@ -628,6 +641,11 @@ _MODEL_CTES = [
     *ols_ctes("m2", "train", "username", TEST_YEAR, "cyclic"),
     *seasonal_ar_ctes("m3", "train", "username", FIRST_YEAR, TEST_YEAR - 1),
     *seasonal_trend_ctes("m4", "train", "username", TEST_YEAR),
+    *ols_ctes("m5", "train", "username", TEST_YEAR, "rebased"),
+    *ols_ctes("m6", "train", "username", TEST_YEAR, "standardised"),
+    *seasonal_arma_ctes("m7", "train", "username", FIRST_YEAR, TEST_YEAR - 1),
+    *pooled_ar_ctes("m8", "train", "username", FIRST_YEAR, TEST_YEAR - 1),
+    *pooled_hinge_ctes("m9", "train", "username", TEST_YEAR),
     "stacked AS ("
     + " UNION ALL ".join(
         f"SELECT '{model}' AS model, username, year, month_num, yhat FROM {cte}"
@@ -636,34 +654,52 @@ _MODEL_CTES = [
             ("cyclic", "m2"),
             ("seasonal_ar", "m3"),
             ("seasonal_trend", "m4"),
+            ("rebased", "m5"),
+            ("standardised", "m6"),
+            ("seasonal_arma", "m7"),
+            ("pooled_ar", "m8"),
+            ("pooled_hinges", "m9"),
         ]
     )
     + ")",
-    f"""aligned AS (SELECT s.model, s.username, s.yhat AS predicted, CAST(a.timelog AS DOUBLE) AS actual
+    f"""beside AS (SELECT s.model, s.username, s.yhat AS predicted, CAST(a.timelog AS DOUBLE) AS actual,
+  a.timelog IS NOT NULL AND count(*) OVER (PARTITION BY s.username, s.year, s.month_num) = 9 AS compared
   FROM stacked s LEFT JOIN (SELECT * FROM user_months WHERE year = {TEST_YEAR}) a
   ON s.username = a.username AND s.year = a.year AND s.month_num = a.month_num)""",
+    "aligned AS (SELECT * FROM beside WHERE compared)",
+    "coverage AS (SELECT model, avg(CASE WHEN compared THEN 1.0::DOUBLE ELSE 0 END) AS coverage FROM beside GROUP BY model)",
 ]
 
 
 def _compared(spark, folder):
-    """Four models on one rollup, which is computed once."""
+    """The deterministic models of all families on one rollup, computed once and dealt out by user once."""
     monthly = materialise(_users(spark, folder))
     train, actual = filters.split_by_year(monthly, TEST_YEAR - 1)
+    train = train.repartition("username")
     forecasts = {
         "ordinal": forecast_ols(train, "username", TEST_YEAR, features="ordinal"),
         "cyclic": forecast_ols(train, "username", TEST_YEAR),
         "seasonal_ar": seasonal_ar.forecast_seasonal_ar(train, "username", FIRST_YEAR, TEST_YEAR - 1),
         "seasonal_trend": seasonal_trend.forecast_seasonal_trend(train, "username", target_year=TEST_YEAR),
+        "rebased": forecast_ols(train, "username", TEST_YEAR, features="rebased"),
+        "standardised": forecast_ols(train, "username", TEST_YEAR, features="standardised"),
+        "seasonal_arma": seasonal_ar.forecast_seasonal_arma(train, "username", FIRST_YEAR, TEST_YEAR - 1),
+        "pooled_ar": pooled.forecast_pooled_ar(train, "username", TEST_YEAR, first_year=FIRST_YEAR),
+        "pooled_hinges": pooled.forecast_pooled_hinges(train, "username", TEST_YEAR),
     }
     return evaluate.compare_models(forecasts, actual, "username")
 
 
 @query(
     "i13_compare_models",
-    sql(_MODEL_CTES, f"SELECT model, {_ERRORS} FROM aligned WHERE {_BOTH} GROUP BY model"),
+    sql(
+        _MODEL_CTES,
+        f"""SELECT * FROM (SELECT model, {_ERRORS} FROM aligned WHERE {_BOTH} GROUP BY model)
+JOIN (SELECT model, {r4("coverage")} AS coverage FROM coverage) USING (model)""",
+    ),
 )
 def i13_compare_models(spark, folder):
-    return tidy(evaluate.accuracy(_compared(spark, folder), ["model"]))
+    return tidy(evaluate.model_errors(_compared(spark, folder)))
 
 
 @query(
@@ -676,6 +712,5 @@ def i13_compare_models(spark, folder):
     ),
 )
 def i13_best_model_per_user(spark, folder):
-    errors = tidy(evaluate.accuracy(_compared(spark, folder), ["username", "model"]))
-    best = ranking.top_k(errors, ["username"], "rmse", ["model"], smallest=True)
+    best = tidy(evaluate.best_model(_compared(spark, folder), "username"))
     return best.select("username", "model", "rmse")

@@ -44,6 +44,21 @@ def test_report_tables(spark, logs, tmp_path, model):
     assert read["top_users_predictions"].columns == ["username", "month", "predicted_hours", "year"]
     assert rows(read["chart_projects"].groupBy("series").count())[-1] == ("Predicted 2023", 12)
     assert read["backtest_projects"].count() >= 33 and read["accuracy_users"].count() == 5
+    assert rows(read["null_audit"].where("column = 'username'"), "null_count") == [("0",)]
+    assert read["month_violations"].count() == 0
+    over = logs.groupBy("username", "year", "month_num").agg(F.sum("timelog").alias("t")).where("t > 160").count()
+    assert read["limit_violations"].count() == over
+    assert read["matrix_month_totals"].columns == ["month", "2019", "2020", "2021", "2022"]
+    total = logs.agg(F.sum("timelog")).first()[0]
+    cells = read["matrix_month_totals"].selectExpr(*[f"CAST(`{y}` AS LONG) AS y{y}" for y in range(2019, 2023)]).collect()
+    assert len(cells) == 12 and sum(v for r in cells for v in r) == total
+    assert read["matrix_top_users"].count() == 12
+    blocks = read["block_month_totals"].selectExpr("block", "CAST(timelog AS LONG) AS timelog")
+    assert rows(blocks.groupBy("block").agg(F.sum("timelog"))) == [("2019-2022", total)]
+    held = read["holdout_users"].orderBy(F.col("month_num").cast("int")).collect()
+    assert len(held) == 12 and all(r.first_actual and r.first_predicted for r in held)
+    actual = logs.where("year = 2022").groupBy("month_num").agg(F.sum("timelog").alias("t"))
+    assert {r.month_num: r.t for r in actual.collect()} == {int(r.month_num): int(float(r.actual)) for r in held if r.actual}
     if model == "cyclic":
         direct = forecast_ols(monthly_rollup(logs, "projectname"), "projectname", 2023)
         written = read["all_projects_predictions"].select(
@@ -86,3 +101,26 @@ def test_logs_written_by_one_layout_feed_a_report(spark, logs, tmp_path):
     again = timelogs.read_timelogs(spark, path, "csv", "text_month")
     paths = run_report(again, str(tmp_path / "o"), "r", "ordinal", 2019, 2022, fmt="parquet")
     assert spark.read.parquet(paths["all_users_predictions"]).count() == 60
+
+
+def test_report_counts_rows_with_one_side_and_reports_bad_months(spark, logs, tmp_path):
+    odd = spark.sql(
+        """SELECT 'user1' AS username, DATE'2021-03-01' AS date, 2021 AS year, 3 AS month_num,
+        CAST(NULL AS INT) AS projectid, CAST(NULL AS STRING) AS projectname, 500L AS timelog
+        UNION ALL SELECT NULL, DATE'2021-03-01', 2021, 3, 1, 'Project 1', 9L
+        UNION ALL SELECT 'user1', NULL, 2021, NULL, 1, 'Project 1', 1L"""
+    )
+    own = logs.select(*odd.columns)
+    paths = run_report(own.unionByName(odd), str(tmp_path), "odd", "cyclic", 2019, 2022)
+    read = {t: spark.read.option("header", True).csv(p) for t, p in paths.items()}
+    before = own.where("username = 'user1' AND year = 2021 AND month_num = 3").agg(F.sum("timelog")).first()[0] or 0
+    top = read["historical_top_users"].where("year = 2021 AND month = 'Mar'").first()
+    assert (top.username, int(top.timelog)) == ("user1", before + 500)
+    assert rows(read["limit_violations"].where("year = 2021 AND month = 'Mar'"), "username") == [("user1",)]
+    assert rows(read["month_violations"], "reason", "n_rows") == [("month missing", "1")]
+    assert {r["column"]: int(r.null_count) for r in read["null_audit"].collect() if r.null_count != "0"} == {
+        "username": 1, "date": 1, "month_num": 1, "projectid": 1, "projectname": 1
+    }
+    project = own.where("projectname = 'Project 1' AND year = 2021 AND month_num = 3").agg(F.sum("timelog")).first()[0] or 0
+    got = read["historical_projects"].where("year = 2021 AND month = 'Mar' AND projectname = 'Project 1'").first()
+    assert int(got.timelog) == project + 9
