@@ -25,14 +25,14 @@ from tallycast.storage import materialise
 
 
 class Settings(NamedTuple):
-    lengths: tuple[int, ...] = (3, 4, 5)
+    lengths: tuple[int, ...] = (4, 5, 6)
     bits: int = 20  # n-grams are hashed into 2 ** bits buckets
-    most_toxic: int = 2000  # bounds of the training sample
-    most_clean: int = 4000
-    features: int = 5000
+    most_toxic: int = 3000  # bounds of the training sample
+    most_clean: int = 6000
+    features: int = 10_000
     least_documents: int = 3  # rarer n-grams are not kept
     smoothing: float = 1.0
-    penalty: float = 1e-4
+    penalty: float = 1e-5
 
 
 class Model(NamedTuple):
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # Kept as plain rows: Spark ML reads them once per step.
     frame = sample.select(scaled("text").alias("features"), F.col("toxic").cast("double").alias("label"), "weight")
     fitted = LogisticRegression(
-        weightCol="weight", regParam=settings.penalty, standardization=False, maxIter=60, tol=1e-6
+        weightCol="weight", regParam=settings.penalty, standardization=False, maxIter=100, tol=1e-6
     ).fit(materialise(frame, "ngram-vectors"))
     weights = np.zeros(1 << settings.bits)
     weights[chosen] = fitted.coefficients.toArray() * ratios
