@@ -117,7 +117,7 @@ def test_redaction(spark, docs):
 def test_toxicity_learns_and_holds_out(spark, docs):
     texts = [(i, prose(60, i) + (" vexbald grumtosh" if i % 5 == 0 else "")) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0), None) for i, _ in texts[:200]] + [(None, 1, 1), (3, None, 1), (9999, 1, 0)], "doc_id long, toxic int, quality int")
-    frame = docs([*texts, (300, None), (301, ""), (302, "vexbald " * 20000)])
+    frame = docs([*texts, (300, None), (301, ""), (302, "vexbald grumtosh " * 20000)])
     rows = {r.doc_id: r for r in toxicity.toxicity(frame, labels).collect()}
     assert len(rows) == 303 and all(0 <= r.score <= 1 for r in rows.values())
     assert all((rows[i].score >= 0.3) == (i % 5 == 0) for i, _ in texts)
