@@ -72,8 +72,8 @@ def test_every_inventory_line_has_a_query():
     assert not missing
 
 
-# The grouped hook and the stacked moving-average fit are the only Python in any plan.
-PYTHON_PLANS = {"k2_grouped_hook", "i6b_seasonal_arma"}
+# The grouped hook and the stacked moving-average fit (also one of the models compared) are the only Python in any plan.
+PYTHON_PLANS = {"k2_grouped_hook", "i6b_seasonal_arma", "i13_compare_models", "i13_best_model_per_user"}
 
 
 @pytest.mark.parametrize("name", sorted(workload.queries()))
