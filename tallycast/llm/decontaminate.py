@@ -57,7 +57,11 @@ def _document_shingles(docs: DataFrame, width: int) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, version, start, stop, items): every occurrence of a window, in word positions."""
     windows = materialise(item_windows(benchmark, window), "windows").withColumn("window_id", F.xxhash64("words"))
-    size = windows.agg(F.sum(F.length(F.concat_ws(" ", "words", "items")) + 64), F.collect_set(F.least("len", F.lit(shingle)))).first()
+    size = windows.agg(
+        F.sum(F.length(F.concat_ws(" ", "words", "items")) + 64),
+        F.collect_set(F.least("len", F.lit(shingle))),
+        F.sum(F.lit(16) * F.col("len")),  # a bound for the bytes of all shingles
+    ).first()
     found = []
     for width in sorted(size[1]):  # one width, unless an item has fewer words than a shingle
         own = windows.where(F.least("len", F.lit(shingle)) == width)
@@ -67,7 +71,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
         known = parts.select("shingle").distinct()
         in_corpus = _document_shingles(docs, width).select("shingle")
         counts = materialise(
-            in_corpus.join(broadcast_if_small(known, 24 * window * size[0]), "shingle").groupBy("shingle").count(), "rarity"
+            in_corpus.join(broadcast_if_small(known, size[2]), "shingle").groupBy("shingle").count(), "rarity"
         )
         ranked = parts.join(counts, "shingle", "left").groupBy("window_id").agg(
             F.min(F.struct("count", "shingle", "offset")).alias("rarest"), F.count_if(F.col("count").isNull()).alias("unseen")
