@@ -2,10 +2,11 @@
 
 Rows are ordered by a hash of the text. A sample drawn in proportion to size gives quantile
 boundaries, which cut the order into ranges; exact sums per range follow, and ranges that
-hold more than twice their share are subdivided. Texts that with their copies outweigh a hundredth of
-a shard are ranges of their own, cut into pieces by document if they outweigh a whole shard.
-These go to the least loaded shards first; the other ranges fill each shard up to the same
-level, in order. Every range is one sorted run in one task, so nothing larger meets anywhere.
+hold more than twice their share are subdivided. Texts that with their copies outweigh a
+hundredth of a shard are ranges of their own, subdivided by document into such hundredths.
+These go to the least loaded shards first, a text's pieces together unless they outweigh a
+whole shard; the other ranges fill each shard up to the same level, in order. Every range is
+one sorted run in one task, so nothing larger meets anywhere.
 """
 
 from __future__ import annotations
@@ -52,9 +53,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 16
     # Heavy texts: at most shards / tolerance of them.
     heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     heavy = heavy.where(F.col("bytes") > tolerance * share).collect()
-    heavy = sorted((r.key, 1 if r.bytes <= share else int(np.ceil(r.bytes / (tolerance * share)))) for r in heavy)
+    heavy = sorted((r.key, r.bytes) for r in heavy)
     heavy_keys = np.array([k for k, _ in heavy], dtype=np.int64)
-    pieces = np.array([p for _, p in heavy], dtype=np.int64)
+    pieces = np.array([int(np.ceil(b / (tolerance * share))) for _, b in heavy], dtype=np.int64)
     first_piece = np.concatenate(([0], np.cumsum(pieces))).astype(np.int64)
 
     chance = F.col("size") * (_SAMPLES_PER_RANGE * n_ranges / max(1, total))
@@ -93,12 +94,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 16
             break
         splitters = np.unique(np.concatenate((splitters, np.array(extra, dtype=np.int64))))
 
-    # Whole heavy ranges first, largest first, each to the shard with the least so far.
+    # Heavy texts first, largest first, each to the shard with the least so far: all pieces of
+    # a text together, or one by one where the text outweighs a shard.
+    units = []
+    for i, (_, size) in enumerate(heavy):
+        own = [r + n_light for r in range(first_piece[i], first_piece[i + 1])]
+        units += [(size, own)] if size <= share else [(held.get(r, 0), [r]) for r in own]
     load = np.zeros(shards, dtype=np.float64)
     fixed = np.full(n_light + int(first_piece[-1]), -1, dtype=np.int64)
-    for size, r in sorted(((b, r) for r, b in held.items() if r >= n_light), reverse=True):
-        fixed[r] = int(np.argmin(load))
-        load[fixed[r]] += size
+    for size, own in sorted(units, reverse=True):
+        fixed[own] = least = int(np.argmin(load))
+        load[least] += size
     # Then one level for all: each shard takes what it lacks, in the order of the ranges.
     order = np.sort(load)
     for k in range(shards, 0, -1):
@@ -136,7 +142,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 16
             yield batch.assign(shard=shard_out, place=index_out)[["doc_id", "size", "text_crc32", "range_id", "shard", "place"]]
 
     kind = dict(docs.dtypes)["doc_id"]
-    runs = ranged.repartitionById(max(1, min(len(fixed), 4096)), (F.col("range_id") % 4096).cast("int"))
+    tasks = min(len(fixed), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // _ROWS_PER_RANGE))
+    runs = ranged.repartitionById(tasks, (F.col("range_id") % tasks).cast("int"))
     runs = runs.sortWithinPartitions("range_id", "key", "tie", "size").mapInPandas(
         assign, f"doc_id {kind}, size long, text_crc32 long, range_id long, shard int, place long"
     )
