@@ -35,14 +35,3 @@ NUMERIC_MONTH_LOGS = _schema(
 PROJECTS = _schema(("projectid", T.IntegerType()), ("projectname", T.StringType()))
 
 LOG_LAYOUTS = {"text_month": TEXT_MONTH_LOGS, "numeric_month": NUMERIC_MONTH_LOGS}
-
-# The form every operator works on.
-CANONICAL_LOGS = _schema(
-    ("username", T.StringType()),
-    ("date", T.DateType()),
-    ("year", T.IntegerType()),
-    ("month_num", T.IntegerType()),
-    ("projectid", T.IntegerType()),
-    ("projectname", T.StringType()),
-    ("timelog", T.LongType()),
-)
