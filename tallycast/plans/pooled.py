@@ -33,20 +33,21 @@ def lag_frame(
     last_year: int | None = None,
     fill_gaps: bool = True,
 ) -> DataFrame:
-    """Scaled windows ending at each month: (entity, month_idx, recent, target, low, span, n_obs).
+    """Scaled windows ending at each month: (entity, month_idx, recent, target, low, span, n_obs, n_seen).
 
-    ``target`` is the month after the window, null on the entity's last row.
+    ``n_obs`` counts the months of the grid, ``n_seen`` those that were not filled in. ``target`` is the month after the window, null on the entity's last row.
     One window pass yields the training rows and the forecasting context.
     """
     if fill_gaps:
         grid = fill_months(monthly, entity, value, first_year, last_year)
     else:
         grid = monthly.select(
-            entity, month_index(F.col("year"), F.col("month_num")).alias("month_idx"), value
+            entity, month_index(F.col("year"), F.col("month_num")).alias("month_idx"), value, F.lit(True).alias("observed")
         )
     order = Window.partitionBy(entity).orderBy("month_idx")
-    scaled = minmax_scale(grid, entity, value).withColumn(
-        "n_obs", F.count(F.lit(1)).over(Window.partitionBy(entity))
+    whole = Window.partitionBy(entity)
+    scaled = minmax_scale(grid, entity, value).withColumns(
+        {"n_obs": F.count(F.lit(1)).over(whole), "n_seen": F.count_if("observed").over(whole)}
     )
     return (
         scaled.filter(F.col("n_obs") > lags)
@@ -57,7 +58,7 @@ def lag_frame(
             }
         )
         .filter(F.size("recent") == lags)
-        .select(entity, "month_idx", "recent", "target", "low", "span", "n_obs")
+        .select(entity, "month_idx", "recent", "target", "low", "span", "n_obs", "n_seen")
     )
 
 
@@ -88,7 +89,8 @@ def forecast_pooled_ar(
     """Autoregression on min-max scaled lag windows, one set of weights for all entities.
 
     Each entity's last window is rolled forward from January of the target year
-    and scaled back. Entities with fewer than lags + 1 months drop out. No clamp.
+    and scaled back. Entities with fewer than lags + 1 months drop out; those whose grid is
+    mostly filled in (fewer than lags + 1 months seen) are marked ``short_history``. No clamp.
     """
     last_year = target_year - 1 if fill_gaps else None
     frame = materialise(lag_frame(monthly, entity, value, lags, first_year, last_year, fill_gaps))
@@ -100,9 +102,8 @@ def forecast_pooled_ar(
     scored = frame.filter(F.col("target").isNull()).withColumn("_path", path)
     future = expand_horizon(scored, periods, "year", target_year)
     yhat = inverse_minmax(F.element_at("_path", F.col("step")), F.col("low"), F.col("span"))
-    return future.select(
-        entity, "ds", "year", "month_num", yhat.alias("yhat"), "n_obs", F.lit("ok").alias("fit_status")
-    )
+    status = F.when(F.col("n_seen") > lags, "ok").otherwise("short_history")
+    return future.select(entity, "ds", "year", "month_num", yhat.alias("yhat"), "n_obs", status.alias("fit_status"))
 
 
 # Joints of the year's bends and of the two waves, in standard units.

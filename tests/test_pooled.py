@@ -99,3 +99,31 @@ def test_pooled_trees_guard_short_series(monthly):
     two = got.filter("entity = 'two'").groupBy("fit_status").agg(F.sum("yhat"), F.count("ds"))
     assert rows(two) == [("short_history", 0.0, 12)]
     assert got.filter("yhat < 0 OR isnan(yhat)").count() == 0 and got.count() == 7 * 12
+
+
+def test_status_counts_the_months_that_were_seen(monthly):
+    from tallycast.plans.pooled import forecast_pooled_ar
+    from tallycast.plans.seasonal_ar import forecast_seasonal_ar, forecast_seasonal_arma
+
+    series = {
+        "full": [(y, m, 10 + m + y % 3) for y in range(2018, 2022) for m in range(1, 13)],
+        "once": [(2019, 5, 7)],
+    }
+    table = monthly(series)
+    for forecast in (
+        forecast_pooled_ar(table, "entity", 2022, first_year=2018),
+        forecast_seasonal_ar(table, "entity", 2018, 2021),
+        forecast_seasonal_arma(table, "entity", 2018, 2021),
+    ):
+        status = {r.entity: r.fit_status for r in forecast.select("entity", "fit_status").distinct().collect()}
+        assert status == {"full": "ok", "once": "short_history"}
+
+
+def test_short_grids_of_the_moving_average_model_fall_back(monthly):
+    from tallycast.plans.seasonal_ar import forecast_seasonal_ar, forecast_seasonal_arma
+
+    table = monthly({"a": [(y, m, 5 * m + y % 5) for y in (2020, 2021) for m in range(1, 13)]})
+    kept = ["entity", "year", "month_num", "yhat"]
+    short = sorted(map(tuple, forecast_seasonal_arma(table, "entity", 2020, 2021).select(*kept).collect()))
+    assert short == sorted(map(tuple, forecast_seasonal_ar(table, "entity", 2020, 2021).select(*kept).collect()))
+    assert len(short) == 12 and all(r[3] > 0 for r in short)
