@@ -25,18 +25,23 @@ from tallycast.llm.graph import connected_components
 from tallycast.storage import materialise
 
 
-def simhash(text: bytes | None, words: int) -> int:
-    """The fingerprint as a signed 64-bit number; zero for a text without words."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """One 64-bit hash for each run of ``words`` words; a text of fewer words is one run, one without words has none."""
     tokens = (text or b"").lower().split()  # bytes: A-Z only, ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     starts = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     width = min(words, len(tokens))
     first, last = starts[: len(tokens) - width + 1], (starts + size)[width - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(first.tolist(), last.tolist())], dtype=">u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(first.tolist(), last.tolist())], dtype=np.uint64)
+
+
+def simhash(text: bytes | None, words: int) -> int:
+    """The fingerprint as a signed 64-bit number; zero for a text without words."""
+    hashes = shingle_hashes(text, words).astype(">u8")
     ones = np.zeros(64, dtype=np.int64)
     for part in range(0, len(hashes), 4096):
         block = hashes[part : part + 4096].view(np.uint8).reshape(-1, 8)
@@ -45,14 +50,14 @@ def simhash(text: bytes | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; a null text has no words."""
+    """(doc_id, version, fp): one row per row of ``docs``; a null text has no words, version is a hash of the text."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([simhash(t, words) for t in texts], dtype="int64")
 
     compute = F.pandas_udf(of, "long")
-    return docs.select("doc_id", compute(F.col("text").cast("binary")).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), compute(F.col("text").cast("binary")).alias("fp"))
 
 
 def _cell(x: str) -> str:
@@ -81,6 +86,16 @@ def link(distinct: DataFrame) -> DataFrame:
     return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
 
 
+def _labelled(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, fp) per row, and (fp, first_id, component) per fingerprint."""
+    prints = materialise(fingerprints(docs, words), "simhash")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    parts = connected_components(link(distinct.select("fp")))
+    return prints, distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("component", "fp").alias("component")
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row: component_id is the smallest doc_id reachable over
     links of at most two differing bits.
@@ -89,29 +104,32 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     doc_id stay as they are; a null doc_id is kept and never becomes a component's id unless
     all of the component's ids are null. Other columns of ``docs`` are ignored.
     """
-    prints = materialise(fingerprints(docs, words), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = connected_components(link(distinct.select("fp")))
-    labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
+    prints, labelled = _labelled(docs, words)
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = labelled.join(least, "component").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest id; columns unchanged.
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component; ``groups`` has (doc_id, version, component) for each row,
+    where version is the xxhash64 of the text. Columns unchanged.
 
-    A row that repeats a kept doc_id goes too. Rows without doc_id cannot be told apart and
-    are dropped where their component has a row with one, and kept otherwise.
+    The row of smallest doc_id stays, null being the largest; among rows of one id, that of the smallest
+    version. Rows that share only the id are told apart by their texts, and equal rows are one.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), words)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = materialise(kept, "kept-ids")
-    alone = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return alone if rows == ids else alone.dropDuplicates(["doc_id"])
+    rows = groups.groupBy("doc_id", "version").agg(F.first("component").alias("component"), F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "n")).alias("least")
+    kept = rows.groupBy("component").agg(least).selectExpr("least.doc_id AS kept_id", "least.version AS kept_version", "least.n AS kept_n")
+    kept = materialise(kept, "kept-rows")
+    same = docs.doc_id.eqNullSafe(kept.kept_id) & (F.xxhash64(docs.text) == kept.kept_version)
+    alone = docs.join(kept, same, "left_semi")
+    return alone if kept.where("kept_n > 1").isEmpty() else alone.dropDuplicates(["doc_id", "text"])
+
+
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` with one row of each component, the one of smallest id; see keep_first."""
+    prints, names = _labelled(docs, words)
+    return keep_first(docs, prints.join(names, "fp").select("doc_id", "version", "component"))
 
 
 def op9(spark, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 import xxhash
 
 from tallycast.llm import graph, simhash, substrings
@@ -83,6 +84,17 @@ def test_keep_one_and_edge_cases(spark, docs):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_keep_one_tells_rows_of_one_id_apart(spark, docs, repeated):
+    a, b, c, d = (prose(80, 40 + k) for k in range(4))
+    rows = [(None, a), (None, a), (None, b), (5, c), (6, c), (None, c)] + [(9, d), (9, prose(80, 50)), (9, d)] * repeated
+    expected = [(5, c), (None, a), (None, b)] + [(9, d), (9, prose(80, 50))] * repeated
+    key = lambda r: (r[0] or 0, r[1])
+    for module in (simhash,):
+        got = [(r.doc_id, r.text) for r in module.keep_one(docs(rows)).collect()]
+        assert sorted(got, key=key) == sorted(expected, key=key)
+
+
 def test_passages_are_found_and_clean_texts_left_alone(spark, docs):
     passage = prose(60, 5)
     texts = [(i, f"{prose(50 + i, 100 + i)} {passage} {prose(40, 200 + i)}") for i in range(8)]
