@@ -6,7 +6,8 @@ subsequence; shared lines are taken for the site's furniture and deleted. Markup
 the outcome: a shared line that stands inside the page's article is the page's own text (copies
 and quotations share it) and stays; a line inside an element that names itself as furniture is
 none of the article even where no other page shows it, and so is, on a page with an article,
-all that stands outside of it.
+all that stands outside of it. Where shared lines hold more than two thirds of the characters
+that markup leaves open, the nearest page is a copy or a quotation: they stay, furniture included.
 """
 
 from __future__ import annotations
@@ -252,9 +253,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     lines = rows.mapInPandas(parsed, fields)
     same = lines.page_id.eqNullSafe(shared.page_id) & (lines.version == shared.version)
     role = "get(roles, i)"
+    plain = f"filter(lines, (line, i) -> {role} = {PLAIN}"
+    copied = f"3 * length(array_join({plain} AND NOT array_contains(shared, i)), '')) < length(array_join({plain}), ''))"
     kept = f"""filter(lines, (line, i) -> {role} <> {FURNITURE}
-        AND ({role} = {ARTICLE} OR NOT array_contains(roles, {ARTICLE}) AND NOT array_contains(shared, i)))"""
-    return lines.join(shared, same, "left").select(
+        AND ({role} = {ARTICLE} OR NOT array_contains(roles, {ARTICLE}) AND (copied OR NOT array_contains(shared, i))))"""
+    return lines.join(shared, same, "left").withColumn("copied", F.expr(copied)).select(
         lines.page_id,
         lines.url,
         F.array_join(F.expr(kept), "\n").alias("text"),

@@ -183,6 +183,15 @@ def test_pairing_does_not_depend_on_the_ranges(spark):
     assert all(r[2] == (f"Own {r[0]}" if r[0] < 40 else f"Head\nOwn {r[0]}\nFoot") for r in seen[0])
 
 
+def test_copies_without_article_markup_keep_their_text(spark):
+    body = "<div>Site name</div>" + "".join(f"<div>{prose(20, k)}</div>" for k in range(5))
+    own = "\n".join(["Site name", *(prose(20, k) for k in range(5))])
+    rows = [(1, "http://c.example/a?x=1", page(body)), (2, "http://c.example/a?x=2", page(body)), (3, "http://c.example/b", page(body + "<div>quoted above</div>"))]
+    rows.append((4, "http://c.example/c", page(f"<div>Site name</div><div>{prose(30, 9)}</div>")))
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: own, 2: own, 3: own + "\nquoted above", 4: prose(30, 9)}
+
+
 def test_common_lines():
     assert pages.common_lines([1, 2, 3, 4, 5], [0, 2, 9, 4, 5]) == [1, 3, 4]
     assert pages.common_lines([], [1]) == [] and pages.common_lines([1, 1, 1], [1, 1]) == [0, 1]
