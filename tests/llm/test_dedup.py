@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 import xxhash
 
-from tallycast.llm import graph, simhash, substrings
+from tallycast.llm import graph, near_copies, simhash, substrings
 from tests.llm.conftest import prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,7 +91,7 @@ def test_keep_one_tells_rows_of_one_id_apart(spark, docs, repeated):
     rows = [(None, a), (None, a), (None, b), (5, c), (6, c), (None, c)] + [(9, d), (9, prose(80, 50)), (9, d)] * repeated
     expected = [(5, c), (None, a), (None, b)] + [(9, d), (9, prose(80, 50))] * repeated
     key = lambda r: (r[0] or 0, r[1])
-    for module in (simhash,):
+    for module in (simhash, near_copies):
         got = [(r.doc_id, r.text) for r in module.keep_one(docs(rows)).collect()]
         assert sorted(got, key=key) == sorted(expected, key=key)
 
@@ -131,3 +132,59 @@ def test_boundaries_resist_insertions():
     assert len(cut(data) & cut(moved)) > 0.98 * len(cut(data))
     same = substrings.boundaries(np.full(5000, 97, dtype=np.uint8))
     assert np.diff(same, prepend=0).max() <= substrings.LONGEST and same[-1] == 5000
+
+
+def jaccard(a, b, width=5):
+    def runs(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    x, y = runs(a), runs(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def edited(text, rng, n):
+    words = text.split()
+    for _ in range(n):
+        at, kind = rng.randrange(len(words)), rng.randrange(3)
+        words[at : at + 1] = [[f"new{rng.randrange(10**6)}"], [], [words[at], "more"]][kind]
+    return " ".join(words)
+
+
+def test_near_copies_match_brute_force(spark, docs):
+    rng = random.Random(5)
+    base = [prose(n, 700 + n) for n in (6, 40, 150, 151, 600)]
+    texts = [None, "", "one two", "One TWO", *base]
+    texts += [edited(b, rng, rng.randrange(1, 2 + len(b.split()) // 20)) for b in base for _ in range(12)]
+    common = " with one common line in every one of these texts"
+    texts += [prose(60, 800 + i) + common for i in range(30)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    prints = [fingerprint(t) for t in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in pairs) > 20  # what two bits would miss
+    expected = [find(i) for i in range(len(texts))]
+    got = {r.doc_id: r.component for r in near_copies.similar_groups(docs(enumerate(texts))).collect()}
+    names = {c: min(i for i in got if got[i] == c) for c in got.values()}
+    assert [names[got[i]] for i in range(len(texts))] == expected
+    kept = near_copies.keep_one(docs(enumerate(texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected))
+    assert near_copies.keep_one(docs([])).count() == 0
+
+
+def test_similarity_of_exactly_four_fifths_is_found(spark, docs):
+    words = prose(13, 11).split()  # 9 shingles; the copy holds 10, all 9 among them, or 8 of its own 9
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(words[:-1])), (4, " ".join([*words, "x", "y", "z"]))]
+    assert jaccard(texts[1][1], texts[2][1]) == 0.8 and jaccard(texts[0][1], texts[3][1]) == 0.75
+    got = {r.doc_id: r.component for r in near_copies.similar_groups(docs([texts[1], texts[2]])).collect()}
+    assert got[2] == got[3]
+    got = {r.doc_id: r.component for r in near_copies.similar_groups(docs([texts[0], texts[3]])).collect()}
+    assert got[1] != got[4]

@@ -178,3 +178,14 @@ def test_pipeline_stages(spark, docs, tmp_path):
     packed = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept[names[3]]
     assert packed.agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in packed.dropDuplicates(["doc_id"]).collect())
+
+
+def test_pipeline_drops_edited_copies(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    words = prose(300, 1).split()
+    copies = [(k, " ".join([*words[:k], "changed", *words[k + 1 : k + 150], "other", *words[k + 151 :]])) for k in range(20, 140, 20)]
+    far = " ".join("changed" if i % 20 == 0 else w for i, w in enumerate(words))  # a similarity of 0.6
+    frame = docs([(1, " ".join(words)), *copies, (500, far), (501, prose(80, 2))])
+    out = corpus_pipeline.STAGES[1][1](spark, frame, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 500, 501]
