@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallycast.llm import chat, decontaminate, neighbours, packing, pages, secrets, sharding, simhash, substrings, toxicity
+from tallycast.llm import (
+    chat,
+    decontaminate,
+    neighbours,
+    packing,
+    pages,
+    prefixes,
+    secrets,
+    sharding,
+    simhash,
+    spelling,
+    substrings,
+    toxicity,
+    wavelet,
+)
 
 _QUERIES = {
     "op1_sampled_splitters": (sharding.op1, None),
@@ -16,6 +30,9 @@ _QUERIES = {
     "op8_toxicity": (toxicity.op8, None),
     "op9_simhash_near_duplicates": (simhash.op9, None),
     "op10_secret_scans": (secrets.op10, secrets.OP10_SQL),
+    "op11_wavelet_matrix": (wavelet.op11, None),
+    "op12_spelling_variants": (spelling.op12, None),
+    "op13_conversation_trie": (prefixes.op13, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
