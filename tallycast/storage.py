@@ -37,6 +37,23 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+# Deletes a query's shuffle files when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_scratch(df: DataFrame, label: str) -> str:
+    """Write as Parquet to a fresh path of the shared folder; nothing of the query but this is left on disk."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "kept") -> DataFrame:
     """Compute once, keep as Parquet in the shared folder, and cut the lineage there.
 
@@ -44,6 +61,4 @@ def materialise(df: DataFrame, label: str = "kept") -> DataFrame:
     scoring), so the raw log is scanned once. Readers of the kept table still get
     column pruning and pushed filters, and lost executors cost no recomputation.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, label))
