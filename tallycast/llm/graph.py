@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.storage import drop_scratch, scratch_path
+from tallycast.storage import drop_scratch, write_scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before, kept = None, []
     while True:
-        path = scratch_path(spark, "edges")
-        current.distinct().write.parquet(path)
+        path = write_scratch(current.distinct(), "edges")
         kept.append(path)
         edge = spark.read.schema("u long, v long").parquet(path)
         now = edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -22,11 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import broadcast_if_small, table
+from tallycast.llm.common import salted_join, table
 from tallycast.storage import materialise
 
 BLOCK = 4  # turns
-SALT = 1 << 20  # rows of one key that are joined in one task, about
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
@@ -57,20 +56,6 @@ def _placed(turns: DataFrame) -> DataFrame:
     )
 
 
-def _salted(rows: DataFrame, other: DataFrame, keys: list[str], n: str, spread: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``other``, which has one row per key and, as ``n``, how many rows meet it.
-
-    A key met by more than ``SALT`` rows is repeated, and its rows are dealt over the copies by a hash of
-    ``spread``. Such keys are at most one for ``SALT`` rows; their list is broadcast if it is small.
-    """
-    copies = other.withColumn("salts", F.expr(f"CAST(ceil({n} / {SALT}) AS INT)")).drop(n)
-    hot = copies.where("salts > 1").select(*keys, "salts")
-    hot = broadcast_if_small(hot, 64 * hot.count())
-    copies = copies.withColumn("salt", F.explode(F.expr("sequence(0, greatest(salts, 1) - 1)"))).drop("salts")
-    marked = rows.join(hot, keys, "left").withColumn("salt", F.expr(f"CAST(pmod(xxhash64({spread}), coalesce(salts, 1)) AS INT)"))
-    return marked.drop("salts").join(copies, [*keys, "salt"], how).drop("salt")
-
-
 def rebuilt(conversations: DataFrame, family: int = 5, most: int = 9) -> tuple[DataFrame, DataFrame]:
     """All conv_ids, and their rebuilt turns (conv_id, pos, x, y, bytes).
 
@@ -87,7 +72,7 @@ def rebuilt(conversations: DataFrame, family: int = 5, most: int = 9) -> tuple[D
     heads = kept.where(F.col("pos") < most).withColumnRenamed("conv_id", "base")
     first = heads.join(wanted.select("base", "conv_id", "h"), "base").where("pos <= h").select("conv_id", "pos", "turn", "bytes")
     later = kept.where(F.col("pos") > F.expr(f"crc32(CAST(conv_id AS STRING)) % {most}"))
-    later = _salted(later, wanted.select("conv_id", "h", "k", "own"), ["conv_id"], "own", "pos").select("conv_id", F.expr("pos - h + k").alias("pos"), "turn", "bytes")
+    later = salted_join(later, wanted.select("conv_id", "h", "k", "own"), ["conv_id"], "own", "pos").select("conv_id", F.expr("pos - h + k").alias("pos"), "turn", "bytes")
     return ids.select("conv_id"), _placed(first.unionByName(later))
 
 
@@ -159,7 +144,7 @@ def trie(ids: DataFrame, turns: DataFrame, size: int = BLOCK) -> DataFrame:
     agreed = rows.join(same.select(F.col("least").alias("conv_id"), "k", "n"), ["conv_id", "k"])
     chains = agreed.select("conv_id", "k", "p", "q", "n", "items", F.posexplode("items").alias("i", "item"))
     # Opened blocks: one row per member and turn.
-    members = _salted(rows, split, ["k", "p", "q"], "n", "conv_id", "left_semi")
+    members = salted_join(rows, split, ["k", "p", "q"], "n", "conv_id", "left_semi")
     opened = materialise(members.select("conv_id", "k", "p", "q", "items", F.posexplode("items").alias("i", "item")), "opened-turns")
     keyed = [
         F.col("item.pos").alias("depth"),
@@ -223,7 +208,7 @@ def trie(ids: DataFrame, turns: DataFrame, size: int = BLOCK) -> DataFrame:
     done = nodes.join(sums, ["depth", "kx", "ky"]).join(ended, ["depth", "kx", "ky"], "left")
     # A node's parent is found by the parent's key; below one parent may stand a third of all nodes.
     parents = nodes.where("n_children > 0").selectExpr("depth + 1 AS depth", "kx AS px", "ky AS py", "conv_id AS parent_conv_id", "n_children")
-    return _salted(done, parents, ["depth", "px", "py"], "n_children", "kx", "left").select(
+    return salted_join(done, parents, ["depth", "px", "py"], "n_children", "kx", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children",
         F.col("leaf_sum").alias("n_leaves"), F.col("saved_sum").alias("saved_tokens"),
         F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"),

@@ -3,11 +3,11 @@
 A 64-bit fingerprint is embedded as the bit counts of its 16 four-bit segments. One changed
 bit moves one count by one, so the Manhattan distance of two embeddings never exceeds the
 number of differing bits. Two fingerprints within two bits therefore both reach a common
-grid cell within one step of their own cell; cells reached by a single fingerprint are
-dropped. The rest is verified exactly: inside a cell, a fingerprint stands for itself and
-its one-bit neighbours that lie in the cell, and two fingerprints are within two bits
-exactly when they share such a value. At most 65 fingerprints share one, so neither a large
-group of near copies nor a full cell is ever expanded into pairs.
+grid cell within one step of their own cell, and the join is on cells reached by both. It is
+verified exactly: inside a cell, a fingerprint stands for itself and its one-bit neighbours
+that lie in the cell, and two fingerprints are within two bits exactly when they share such a
+value. At most 65 fingerprints share one, so neither a large group of near copies nor a full
+cell is ever expanded into pairs.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import table
+from tallycast.llm.common import salted_join, table
 from tallycast.llm.graph import connected_components
 from tallycast.storage import materialise
 
@@ -39,16 +39,20 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(first.tolist(), last.tolist())], dtype=np.uint64)
 
 
-def simhash(text: bytes | None, words: int) -> int:
-    """The fingerprint as a signed 64-bit number; zero for a text without words."""
-    hashes = shingle_hashes(text, words).astype(">u8")
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number; zero if there are none."""
     ones = np.zeros(64, dtype=np.int64)
     for part in range(0, len(hashes), 4096):
-        block = hashes[part : part + 4096].view(np.uint8).reshape(-1, 8)
+        block = hashes[part : part + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
+def simhash(text: bytes | None, words: int) -> int:
+    """The fingerprint of a text's shingles."""
+    return fingerprint(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, version, fp): one row per row of ``docs``; a null text has no words, version is a hash of the text."""
 
@@ -73,27 +77,28 @@ def _near(x: str) -> Column:
 
 
 def link(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints at most two bits apart, enough to connect all such."""
-    cells = distinct.select("fp", _near("fp").alias("near")).select(
-        "fp", F.explode(F.expr(f"array_distinct(transform(near, x -> {_cell('x')}))")).alias("cell")
-    )
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    candidates = cells.join(shared, "cell")
-    values = candidates.select("fp", "cell", F.explode(_near("fp")).alias("value")).where(
-        f"{_cell('value')} = cell"
-    )
-    groups = values.groupBy("value").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
-    return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    """Edges (a, b) between distinct fingerprints at most two bits apart, enough to connect all such.
+
+    Each fingerprint makes 65 rows, however many others there are: the values within one bit and
+    the cell of each. Rows are shuffled by cell and sorted by value in it.
+    """
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = distinct.repartition(spread, "fp").select("fp", F.explode(_near("fp")).alias("value"))
+    cells = values.withColumn("cell", F.expr(_cell("value"))).repartition(spread, "cell")
+    # At most 65 fingerprints share a value, all of them within two bits of each other.
+    least = F.min("fp").over(Window.partitionBy("cell", "value"))
+    return cells.select(least.alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
 
 
 def _labelled(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, version, fp) per row, and (fp, first_id, component) per fingerprint."""
+    """(doc_id, version, fp) per row, and (fp, held, first_id, component) per fingerprint, which ``held`` rows have."""
     prints = materialise(fingerprints(docs, words), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = materialise(prints.groupBy("fp").agg(F.count("*").alias("held"), F.min("doc_id").alias("first_id")), "prints")
     parts = connected_components(link(distinct.select("fp")))
-    return prints, distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
+    labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "held", "first_id", F.coalesce("component", "fp").alias("component")
     )
+    return prints, materialise(labelled, "labelled-prints")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -105,9 +110,10 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     all of the component's ids are null. Other columns of ``docs`` are ignored.
     """
     prints, labelled = _labelled(docs, words)
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = labelled.join(least, "component").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints"))
+    names = salted_join(labelled, materialise(least, "components"), ["component"], "prints", "fp")
+    names = materialise(names.select("fp", "held", "component_id"), "named-prints")
+    return salted_join(prints, names, ["fp"], "held", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -129,7 +135,8 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` with one row of each component, the one of smallest id; see keep_first."""
     prints, names = _labelled(docs, words)
-    return keep_first(docs, prints.join(names, "fp").select("doc_id", "version", "component"))
+    found = salted_join(prints, names.select("fp", "held", "component"), ["fp"], "held", "doc_id")
+    return keep_first(docs, found.select("doc_id", "version", "component"))
 
 
 def op9(spark, folder: str) -> DataFrame:

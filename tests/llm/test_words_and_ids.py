@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallycast.llm import prefixes, spelling, wavelet
+from tallycast.llm import common, prefixes, spelling, wavelet
 from tests.llm.conftest import prose
 
 P = pytest.importorskip("public_tokenizers")
@@ -205,7 +205,7 @@ def talk(count, seed, most=14):
 
 @pytest.mark.parametrize("size,salt", [(4, 1 << 20), (1, 5), (3, 2)])
 def test_trie_matches_brute_force(spark, monkeypatch, size, salt):
-    monkeypatch.setattr(prefixes, "SALT", salt)
+    monkeypatch.setattr(common, "SALT", salt)
     rows = talk(120, size) + [(200 + c, t, "user", f"same {t}") for c in range(40) for t in range(9)]
     rows += [(None, 1, "user", "x"), (300, None, "user", "first"), (300, 1, "user", "z"), (300, 1, "user", "z"), (301, 0, "system", "y" * 50_000)]
     rows += [(305, t, "user", f"long {t}") for t in range(70)] + [(306, t, "user", f"long {t}") for t in range(70)]
