@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,40 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import process_cache, table
+from tallycast.llm.common import table
+from tallycast.llm.tokens import token_ids
 
 SCHEMA = (
     "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
-# Splits a text exactly as the vocabulary's own pattern does, if no two white-space
-# characters meet; without the look-ahead of that pattern it runs much faster.
-_PLAIN = r"'(?:[stmd]|re|ve|ll)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
-
-
-def tokenizer(ranks: str) -> Callable[[str], list[int]]:
-    """The encoder of a rank file (base64 token and id per line), special strings as plain text."""
-
-    def build():
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as lines:
-            merges = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
-        return [
-            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-            for name, pattern in (("plain", _PLAIN), ("full", public_tokenizers.PATTERN))
-        ]
-
-    plain, full = process_cache(f"encoders:{ranks}", build)
-
-    def encode(text: str) -> list[int]:
-        flat = text.replace("\n", " ")  # isprintable: no white space but single spaces
-        return plain(text) if flat.isprintable() and "  " not in flat else full(text)
-
-    return encode
-
 
 class Packer:
     """Windows of one task. ``place`` takes (doc_id, start, doc_tokens, ids); closed windows come out of ``done``."""
@@ -131,10 +103,10 @@ class Packer:
         self.next_sequence += 1
 
 
-def pack(docs: DataFrame, ranks: str, size: int = 1024, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end: int = 0) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A document is its token ids followed by ``end``; a null or empty text is that id alone.
+    A document is its token ids, those of the tokenizers library for ``vocabulary``, followed by ``end``; a null or empty text is that id alone.
     Every id lies in exactly one piece. A sequence_id names the task that made it in its
     upper bits, so ids are unique without a shuffle, and a task that is run again makes the
     same sequences from the same rows. Repeated rows and null ids are packed like any other;
@@ -144,11 +116,12 @@ def pack(docs: DataFrame, ranks: str, size: int = 1024, end: int = 0) -> DataFra
     columns = [part.split()[0] for part in SCHEMA.format(kind).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(ranks)
+        encoder = token_ids(vocabulary)
         packer = Packer(size, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                packer.place(doc_id, array("I", encode(text or "")), end)
+            texts = [text or "" for text in batch["text"].tolist()]
+            for doc_id, ids in zip(batch["doc_id"].tolist(), encoder.encode(texts)):
+                packer.place(doc_id, array("I", ids), end)
             if packer.done:
                 yield pd.DataFrame(packer.done, columns=columns)
                 packer.done = []
@@ -159,12 +132,7 @@ def pack(docs: DataFrame, ranks: str, size: int = 1024, end: int = 0) -> DataFra
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA.format(kind))
 
 
-def ranks_of(vocabulary: str) -> str:
-    """The rank file of a JSON vocabulary of public_tokenizers: the same ids, read by the faster encoder."""
-    return vocabulary.removesuffix(".json") + ".tiktoken"
-
-
 def op4(spark, folder: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, folder, "documents"), ranks_of(public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -62,12 +62,11 @@ def test_packing_keeps_every_token(spark, docs):
     from tokenizers import Tokenizer
 
     real = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    real.encode_special_tokens = True
     texts = [
         (1, None), (2, ""), (3, "  two  spaces \n\n\n and\tmore   x \x1c y"), (4, "<|endoftext|> it's 12½ ½ 漢字 😀"),
         (5, prose(9000, 1)), (5, prose(9000, 1)), (None, "no id"), (6, "a" * 3000), *[(10 + i, prose(5 + i * 7 % 300, i)) for i in range(200)],
     ]
-    rows = packing.pack(docs(texts).repartition(3), packing.ranks_of(P.path("byte_bpe_50k.json"))).collect()
+    rows = packing.pack(docs(texts).repartition(3), P.path("byte_bpe_50k.json")).collect()
     ids = {i: np.array([*real.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for i, t in texts}
     copies, held, places = Counter(i for i, _ in texts), Counter(), defaultdict(list)
     for r in rows:
@@ -85,7 +84,7 @@ def test_packing_keeps_every_token(spark, docs):
         assert end <= 1024
         short += end < 1024
     assert short <= 3  # one for each task
-    assert packing.pack(docs([]), packing.ranks_of(P.path("byte_bpe_50k.json"))).count() == 0
+    assert packing.pack(docs([]), P.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_placement_minimises_the_sum_of_squares():
