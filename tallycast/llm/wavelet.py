@@ -49,7 +49,7 @@ def build(ids: np.ndarray, block: int = BLOCK) -> bytes:
     zeros, before, ends, parts, written = [], [], [], [], 0
     pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
     for plane in range(planes):
-        bits = (now >> now.dtype.type(planes - 1 - plane)).astype(np.uint8) & 1
+        bits = (now & now.dtype.type(1 << (planes - 1 - plane))).astype(bool)
         packed = np.packbits(bits, bitorder="little")
         data = packed.tobytes()
         counts = np.bitwise_count(np.pad(packed, (0, -len(packed) % (block // 8))))
@@ -59,10 +59,9 @@ def build(ids: np.ndarray, block: int = BLOCK) -> bytes:
             parts.append(pack(data[at : at + block // 8]))
             written += len(parts[-1])
             ends.append(written)
-        set_ = bits.view(bool)
-        low = now[~set_]
+        low, high = np.flatnonzero(~bits), np.flatnonzero(bits)
         zeros.append(len(low))
-        now = np.concatenate((low, now[set_]))
+        now = np.concatenate((now.take(low), now.take(high)))
     index = (np.array(zeros, "<u8"), np.concatenate(before or [[]]).astype("<u8"), np.array(ends, "<u8"))
     return b"".join([struct.pack(_HEAD, MAGIC, planes, len(ids), block, blocks), *(x.tobytes() for x in index), *parts])
 
@@ -163,8 +162,8 @@ class Matrix:
             bits = [self._bits(plane, number) for number in range(self.blocks)]
             set_ = np.concatenate(bits).view(bool)
             above = np.empty_like(values)
-            above[~set_] = values[: self.zeros[plane]]
-            above[set_] = values[self.zeros[plane] :] | kind(1 << (self.planes - 1 - plane))
+            above[np.flatnonzero(~set_)] = values[: self.zeros[plane]]
+            above[np.flatnonzero(set_)] = values[self.zeros[plane] :] | kind(1 << (self.planes - 1 - plane))
             values = above
         return values.astype(np.uint32)
 
