@@ -1,7 +1,7 @@
 """Spelling variants by blocked Gram matrices of letter counts.
 
 One inserted, deleted or replaced letter moves a word's letter counts by a squared distance
-of two at most. Words are blocked by length and by how many of their letters fall into each of three
+of two at most. Words are blocked by length and by how many of their letters fall into each of four
 classes, which one edit changes by one at most, so that a block meets only itself and the few blocks
 beside it. For two blocks one matrix product gives all inner products, and with the norms all squared
 distances; pairs at most two apart are verified letter by letter. Large blocks are cut by a
@@ -25,13 +25,15 @@ from tallycast.llm.common import table
 from tallycast.storage import materialise
 
 LEAST_LETTERS, LEAST_TIMES = 5, 3
-BLOCK = 1024  # words of a block, about
+BLOCK = 2048  # words of a block, about
 LETTERS = 26 + 64  # a to z and U+00C0 to U+00FF
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _HELD = 1 << 18  # words a task counts before it hands them on
-# Steps (length, class 0, class 1) from a block to those it meets: itself, a replaced letter of
-# another class (one direction each, so no pair is met twice), and one letter more of each class.
-_STEPS = ((0, 0, 0), (0, 1, -1), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (1, 0, 0))
+CLASSES = 4  # of letters, by code point
+# Steps of the counts by class from a block to those it meets: itself, one letter more of a class, and a
+# letter replaced by one of another class (one direction each, so that no pair is met twice).
+_ONE = [tuple(int(k == c) for k in range(CLASSES)) for c in range(CLASSES)]
+_STEPS = [(0,) * CLASSES, *_ONE, *[tuple(x - y for x, y in zip(_ONE[c], _ONE[d])) for c in range(CLASSES) for d in range(c)]]
 
 
 def words(docs: DataFrame, every: int = 97) -> DataFrame:
@@ -101,8 +103,13 @@ def near_in_blocks(a: list[str], b: list[str], same: bool) -> list[tuple[int, in
     """Positions of pairs one edit apart; ``same``: the blocks are one, and pairs are listed once."""
     x, y = _codes(a), _codes(b)
     p, q = letter_counts(x), letter_counts(y)
-    distance = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (p @ q.T)
-    i, j = np.nonzero(distance <= 2)
+    used = p.any(axis=0) | q.any(axis=0)
+    p, q = p[:, used], q[:, used]
+    one = np.ones((1, 1), dtype=p.dtype)
+    # One product with the norms as two further columns gives the squared distances.
+    p = np.hstack([-2 * p, (p * p).sum(axis=1, keepdims=True), one.repeat(len(p), 0)])
+    q = np.hstack([q, one.repeat(len(q), 0), (q * q).sum(axis=1, keepdims=True)])
+    i, j = np.divmod(np.flatnonzero((p @ q.T).ravel() <= 2), len(q))
     if same:
         i, j = i[i < j], j[i < j]
     out = []
@@ -119,52 +126,52 @@ def near_pairs(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
 
     ``vocabulary`` has distinct non-empty words of the letters a to z and U+00C0 to U+00FF.
     """
-    third = "size(filter(transform(split(word, ''), c -> IF(c = '', 3, ascii(c) % 3)), c -> c = {}))"
-    keyed = vocabulary.select("word", "n", F.length("word").alias("len"), F.expr(third.format(0)).alias("p"), F.expr(third.format(1)).alias("q"))
+    of_class = f"size(filter(transform(split(word, ''), c -> IF(c = '', -1, ascii(c) % {CLASSES})), c -> c = {{}}))"
+    classes = [f"c{k}" for k in range(CLASSES)]
+    keyed = vocabulary.select("word", "n", *[F.expr(of_class.format(k)).alias(c) for k, c in enumerate(classes)])
     keyed = materialise(keyed, "letter-classes")
     # A block of long words holds fewer of them.
-    sizes = keyed.groupBy("len", "p", "q").count().selectExpr(
-        "len", "p", "q", f"CAST(ceil(count / greatest(1, least({block}, 4194304 DIV len))) AS INT) AS parts"
-    )
+    sizes = keyed.groupBy(*classes).count()
+    sizes = sizes.selectExpr(*classes, f"CAST(ceil(count / greatest(1, least({block}, 4194304 DIV ({' + '.join(classes)})))) AS INT) AS parts")
     sizes = materialise(sizes, "letter-blocks")
-    steps = ", ".join(f"struct({a} AS a, {b} AS b, {c} AS c)" for a, b, c in _STEPS)
-    met = sizes.select("*", F.explode(F.expr(f"array({steps})")).alias("s")).selectExpr(
-        "len", "p", "q", "parts", "len + s.a AS len2", "p + s.b AS p2", "q + s.c AS q2"
-    )
-    met = met.join(sizes.selectExpr("len AS len2", "p AS p2", "q AS q2", "parts AS parts2"), ["len2", "p2", "q2"])
+    others = [f"{c}_met" for c in classes]
+    steps = ", ".join("array(" + ", ".join(map(str, step)) + ")" for step in _STEPS)
+    met = sizes.select("*", F.explode(F.expr(f"array({steps})")).alias("s"))
+    met = met.selectExpr(*classes, "parts", *[f"{c} + s[{k}] AS {o}" for k, (c, o) in enumerate(zip(classes, others))])
+    met = met.join(sizes.withColumnsRenamed({**dict(zip(classes, others)), "parts": "parts_met"}), others)
     own = "CAST(pmod(xxhash64(word), {}) AS INT)"
-    keys = ["len", "p", "q", "part", "len2", "p2", "q2", "part2"]
-    same_block = "len = len2 AND p = p2 AND q = q2"
+    keys = [*classes, "part", *others, "part_met"]
+    same_block = " AND ".join(f"{c} = {o}" for c, o in zip(classes, others))
+    once = f"NOT ({same_block}) OR part <= part_met"
     left = (
-        keyed.join(met, ["len", "p", "q"])
+        keyed.join(met, classes)
         .withColumn("part", F.expr(own.format("parts")))
-        .withColumn("part2", F.explode(F.expr("sequence(0, parts2 - 1)")))
-        .where(f"NOT ({same_block}) OR part <= part2")
+        .withColumn("part_met", F.explode(F.expr("sequence(0, parts_met - 1)")))
+        .where(once)
         .select(*keys, "word", "n")
     )
     right = (
-        keyed.selectExpr("len AS len2", "p AS p2", "q AS q2", "word", "n")
-        .join(met, ["len2", "p2", "q2"])
-        .withColumn("part2", F.expr(own.format("parts2")))
+        keyed.withColumnsRenamed(dict(zip(classes, others)))
+        .join(met, others)
+        .withColumn("part_met", F.expr(own.format("parts_met")))
         .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-        .where(f"NOT ({same_block}) OR part <= part2")
-        .select(*keys, "word", "n")
+        .where(once)
+        .select(*[F.col(k).alias(f"other_{k}") for k in keys], F.col("word").alias("near"), F.col("n").alias("near_n"))
     )
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["word", "n", "near", "near_n"]
         if a.empty or b.empty:
             return pd.DataFrame([], columns=columns)
-        b = b.rename(columns=lambda c: c.removeprefix("other_"))
-        a, b = a.sort_values("word", ignore_index=True), b.sort_values("word", ignore_index=True)
-        found = near_in_blocks(a["word"].tolist(), b["word"].tolist(), key[:4] == key[4:])
+        same = key[: CLASSES + 1] == key[CLASSES + 1 :]
+        if same:  # one block, in one order
+            a, b = a.sort_values("word"), b.sort_values("near")
+        found = near_in_blocks(a["word"].tolist(), b["near"].tolist(), same)
         i, j = [x for x, _ in found], [y for _, y in found]
-        s, t = a.loc[i].reset_index(drop=True), b.loc[j].reset_index(drop=True)
-        one = pd.DataFrame({"word": s["word"], "n": s["n"], "near": t["word"], "near_n": t["n"]})
-        two = pd.DataFrame({"word": t["word"], "n": t["n"], "near": s["word"], "near_n": s["n"]})
-        return pd.concat([one, two], ignore_index=True)
+        word, n, near, near_n = (d[c].to_numpy()[at] for d, c, at in ((a, "word", i), (a, "n", i), (b, "near", j), (b, "near_n", j)))
+        pairs = zip(columns, ((word, near), (n, near_n), (near, word), (near_n, n)))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in pairs})
 
-    right = right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns])  # no column of both sides is one
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*[f"other_{c}" for c in keys]))
     return pairs.applyInPandas(compare, "word string, n long, near string, near_n long")
 
