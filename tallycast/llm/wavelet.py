@@ -27,7 +27,7 @@ from tallycast.llm.common import table
 from tallycast.llm.tokens import token_ids
 from tallycast.storage import scratch_path
 
-SHARD = 1 << 20  # ids of a shard, about: it is closed after the document that reaches them
+SHARD = 1 << 18  # ids of a shard, about: it is closed after the document that reaches them
 BLOCK = 1 << 15  # bits of a block
 MAGIC = b"WVM1"
 _HEAD = "<4sIQII"  # magic, planes, ids, bits of a block, blocks of a plane
