@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.calendar import month_name
+from tallycast.operators.rollups import year_span
+from tallycast.storage import materialise
 
 
 def series_with_forecast(
@@ -29,11 +31,17 @@ def series_with_forecast(
     )
 
 
-def year_month_matrix(monthly: DataFrame, years: Sequence[int], value: str = "timelog") -> DataFrame:
+def year_month_matrix(monthly: DataFrame, years: Sequence[int] | None = None, value: str = "timelog") -> DataFrame:
     """One row per calendar month, one column per listed year.
 
-    The list is explicit, so no job runs to find the years.
+    With a list no job runs to find the years. Without one they are all years from the table's first
+    to its last; the table, one row per month at most, is kept and looked at once.
     """
+    if years is None:
+        monthly = materialise(monthly.select("year", "month_num", value), "month-values")
+        years = year_span(monthly)
+    if not years:
+        return monthly.select("month_num").distinct()
     return monthly.groupBy("month_num").pivot("year", list(years)).agg(F.sum(value))
 
 

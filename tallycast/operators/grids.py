@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.calendar import month_index
+from tallycast.operators.rollups import year_span
+from tallycast.storage import materialise
 
 
 def fill_months(
@@ -50,6 +52,16 @@ def fill_months(
     )
 
 
+def fill_span(monthly: DataFrame, entity: str, value: str = "timelog", fill: float = 0) -> DataFrame:
+    """``fill_months`` over the years from the table's first to its last one, whatever they are.
+
+    The table is kept first, so that it is computed once for its span and its rows.
+    """
+    kept = materialise(monthly.select(entity, "year", "month_num", value), "monthly")
+    years = year_span(kept)
+    return fill_months(kept, entity, value, years[0], years[-1], fill) if years else fill_months(kept, entity, value, fill=fill)
+
+
 def future_months(
     monthly: DataFrame,
     entity: str,
@@ -92,11 +104,22 @@ def expand_horizon(
     )
 
 
-def day_scaffold(logs: DataFrame, entity: str, first_year: int, last_year: int) -> DataFrame:
-    """Every calendar day of the years for every entity, 29 February included."""
+def day_scaffold(
+    logs: DataFrame, entity: str, first_year: int | None = None, last_year: int | None = None
+) -> DataFrame:
+    """Every calendar day of the years for every entity, 29 February included.
+
+    Without bounds the years are those from the first to the last ``date`` of ``logs``, which
+    should then be a kept table.
+    """
+    if first_year is None or last_year is None:
+        years = year_span(logs.select(F.year("date").alias("year")))
+        if not years:
+            return logs.select(entity, "date").limit(0)
+        first_year, last_year = first_year or years[0], last_year or years[-1]
     days = F.sequence(
-        F.lit(f"{first_year}-01-01").cast("date"),
-        F.lit(f"{last_year}-12-31").cast("date"),
+        F.make_date(F.lit(first_year), F.lit(1), F.lit(1)),
+        F.make_date(F.lit(last_year), F.lit(12), F.lit(31)),
         F.expr("interval 1 day"),
     )
     return logs.select(entity).distinct().withColumn("date", F.explode(days))

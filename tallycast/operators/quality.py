@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.calendar import MONTHS
+from tallycast.storage import materialise
 
 
 def null_audit(df: DataFrame) -> DataFrame:
@@ -58,8 +59,13 @@ def limit_violations(monthly: DataFrame, limit: int = 160, value: str = "timelog
     return monthly.filter(F.col(value) > limit)
 
 
-def require_rows(df: DataFrame, what: str = "forecast") -> DataFrame:
-    """Fails when there is no row at all. Starts a job, so call it at the sink."""
-    if df.isEmpty():
+def require_rows(df: DataFrame, what: str = "forecast", kept: bool = False) -> DataFrame:
+    """The table, kept; fails when it has no row at all.
+
+    The plan runs once: its result is written to the shared folder, and looked at there.
+    ``kept`` says that ``df`` is read from a written table already.
+    """
+    table = df if kept else materialise(df, "required")
+    if table.isEmpty():
         raise ValueError(f"no rows: {what}")
-    return df
+    return table

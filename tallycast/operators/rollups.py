@@ -67,6 +67,19 @@ def user_months_with_project(cells: DataFrame) -> DataFrame:
     )
 
 
+def user_months_with_activity(cells: DataFrame) -> DataFrame:
+    """``user_months_with_project`` and, per user and month, the number of log rows (n_rows), of projects
+    (n_projects) and the hours of the largest project (top_hours), in the same aggregation."""
+    weighted = F.when(F.col("projectid").isNotNull(), F.col("n_rows"))
+    return _with_keys(cells, ["username", "year", "month_num"]).groupBy("username", "year", "month_num").agg(
+        F.sum("timelog").alias("timelog"),
+        F.try_divide(F.sum(F.col("projectid") * weighted), F.sum(weighted)).alias("projectid"),
+        F.sum("n_rows").alias("n_rows"),
+        F.count("projectid").alias("n_projects"),
+        F.max("timelog").alias("top_hours"),
+    )
+
+
 def monthly_total(monthly: DataFrame, value: str = "timelog", expand_months: bool = False) -> DataFrame:
     """Sum over all entities per month.
 
@@ -113,6 +126,15 @@ def population_mean(monthly: DataFrame, entity: str, value: str = "timelog") ->
     )
 
 
+def year_span(monthly: DataFrame, year: str = "year") -> range:
+    """All years from the first to the last one of a table; none for an empty one.
+
+    Runs one small aggregate, so hand in a kept table rather than a log.
+    """
+    first, last = monthly.agg(F.min(year), F.max(year)).first()
+    return range(first, last + 1) if first is not None else range(0)
+
+
 def rows_per_entity(monthly: DataFrame, entity: str) -> DataFrame:
     return monthly.groupBy(entity).agg(F.count(F.lit(1)).alias("n_rows"))
 

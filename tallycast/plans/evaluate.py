@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallycast.operators.filters import split_by_year
 from tallycast.operators.joins import align
 from tallycast.operators.ranking import top_k
+from tallycast.storage import materialise
 
 Model = Callable[[DataFrame], DataFrame]
 
@@ -65,11 +66,11 @@ def compare_models(
 
     ``compared`` marks the months of an entity that every model predicts and that have an
     actual value, so that errors over them are taken from the same months for all models.
+    The forecasts are computed once, in one job, and kept; all that follows reads the kept table.
     """
     known = actual.select(entity, "year", "month_num", F.col(value).cast("double").alias("actual"))
-    predicted = stack_models(forecasts).select(
-        "model", entity, "year", "month_num", F.col("yhat").alias("predicted")
-    )
+    slim = {m: f.select(entity, "year", "month_num", F.col("yhat").alias("predicted")) for m, f in forecasts.items()}
+    predicted = materialise(stack_models(slim), "model-forecasts").select("model", entity, "year", "month_num", "predicted")
     keys = [entity, "year", "month_num"]
     covered = predicted.groupBy(*keys).agg((F.count_distinct("model") == len(forecasts)).alias("_all"))
     beside = covered.join(known, keys, "left")

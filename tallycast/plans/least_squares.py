@@ -81,15 +81,35 @@ def _sum(terms: Sequence[str]) -> str:
     return " + ".join(terms) if terms else "0D"
 
 
+def _eliminated(moments: DataFrame, n: int) -> DataFrame:
+    """``coef_i`` and ``rank`` of any number of features, by Gauss-Jordan steps over an array of rows.
+
+    A feature that the ones before it explain (its variance left over is within the tolerance)
+    gets the coefficient 0: the fitted values are those of least squares, the split is not
+    the one of minimum norm.
+    """
+    matrix = ", ".join(f"array({', '.join([*[_s(i, j) for j in range(n)], f'b_{i}'])})" for i in range(n))
+    spread = ", ".join(_s(i, i) for i in range(n))
+    stepped = f"""aggregate(sequence(0, {n - 1}), array({matrix}), (m, k) ->
+        IF(m[k][k] > {RANK_TOLERANCE}D * _spread[k],
+            transform(m, (r, i) -> IF(i = k, transform(r, x -> x / m[k][k]), zip_with(r, m[k], (x, y) -> x - r[k] / m[k][k] * y))),
+            transform(m, (r, i) -> IF(i = k, transform(r, x -> 0D), r))))"""
+    df = _with(_with(moments, {"_spread": f"array({spread})"}), {"_m": stepped})
+    df = _with(df, {**{f"coef_{i}": f"coalesce(_m[{i}][{n}], 0D)" for i in range(n)}, "rank": " + ".join(f"IF(_m[{i}][{i}] > 0, 1, 0)" for i in range(n))})
+    return df.drop("_m", "_spread", *[_s(i, j) for i, j in pairs(n)], *[f"b_{i}" for i in range(n)])
+
+
 def solve_moments(moments: DataFrame, n: int, standardise: bool = False) -> DataFrame:
     """Add ``coef_i`` and ``rank`` to rows of moments; the moments are dropped.
 
     With ``standardise`` the coefficients belong to features divided by
-    ``scale_i``, which is kept.
+    ``scale_i``, which is kept. Up to three features are solved in closed form, more by elimination.
     """
-    if not 1 <= n <= 3:
-        raise ValueError("one to three features")
+    if n < 1:
+        raise ValueError("one feature or more")
     df = _standardised(moments, n) if standardise else moments
+    if n > 3:
+        return _eliminated(df, n)
     e1 = _sum([_s(i, i) for i in range(n)])
     e2 = _sum([f"({_s(i, i)} * {_s(j, j)} - {_s(i, j)} * {_s(i, j)})" for i, j in pairs(n) if i != j])
     e3 = _sum([f"{_s(0, j)} * {_cofactor(0, j)}" for j in range(3)] if n == 3 else [])

@@ -6,7 +6,7 @@ a rollup of those cells.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from tallycast.storage import materialise
 
 # (monthly, entity, first_year, target_year) -> forecast
 Forecaster = Callable[[DataFrame, str, int, int], DataFrame]
+REGRESSOR_MODEL = "seasonal_trend_regressor"
 
 
 def _ols(kind: str) -> Forecaster:
@@ -31,12 +32,20 @@ def _seasonal_trend(monthly: DataFrame, entity: str, first: int, target: int) ->
     return seasonal_trend.forecast_seasonal_trend(monthly, entity, target_year=target)
 
 
-def _with_project_mean(monthly: DataFrame, entity: str, first: int, target: int) -> DataFrame:
-    """The project mean is a regressor where the monthly table has it (users)."""
-    regressors = ["projectid"] if "projectid" in monthly.columns else []
-    return seasonal_trend.forecast_seasonal_trend(
-        monthly, entity, regressors=regressors, target_year=target
-    )
+def with_regressors(regressors: Sequence[str] = ("projectid",), future_x: DataFrame | None = None) -> Forecaster:
+    """Seasonal trend with those of the regressors that a monthly table has; by default the project mean of users.
+
+    ``future_x`` (entity, year, month_num, regressors) gives future values to the entities it names.
+    """
+
+    def forecast(monthly: DataFrame, entity: str, first: int, target: int) -> DataFrame:
+        own = [x for x in regressors if x in monthly.columns]
+        ahead = future_x if future_x is not None and own and {entity, *own} <= set(future_x.columns) else None
+        return seasonal_trend.forecast_seasonal_trend(
+            monthly, entity, regressors=own, future_x=ahead, target_year=target
+        )
+
+    return forecast
 
 
 MODELS: dict[str, Forecaster] = {
@@ -44,7 +53,7 @@ MODELS: dict[str, Forecaster] = {
     "seasonal_ar": lambda m, e, first, target: seasonal_ar.forecast_seasonal_ar(m, e, first, target - 1),
     "seasonal_arma": lambda m, e, first, target: seasonal_ar.forecast_seasonal_arma(m, e, first, target - 1),
     "seasonal_trend": _seasonal_trend,
-    "seasonal_trend_regressor": _with_project_mean,
+    REGRESSOR_MODEL: with_regressors(),
     "pooled_ar": lambda m, e, first, target: pooled.forecast_pooled_ar(m, e, target, first_year=first),
     "pooled_hinges": lambda m, e, first, target: pooled.forecast_pooled_hinges(m, e, target),
     "pooled_gbt": lambda m, e, first, target: pooled.forecast_pooled_gbt(m, e, target),
@@ -81,6 +90,9 @@ def run_report(
     backtest: bool = False,
     fmt: str = "csv",
     limit: int = 160,
+    regressors: Sequence[str] = ("projectid",),
+    monthly_x: DataFrame | None = None,
+    future_x: DataFrame | None = None,
 ) -> dict[str, str]:
     """Analyse the years first_year..last_year and predict the year after.
 
@@ -89,11 +101,18 @@ def run_report(
     month matrices, and totals per block of years. With ``backtest`` the last year is also
     predicted from the years before it and set beside what happened, per entity and
     for the month's winners and totals.
+
+    The model with regressors takes them from the users' monthly table (``projectid``) and from
+    ``monthly_x`` (username, year, month_num, further columns); ``future_x`` has the values of the
+    predicted months, which are else the user's historical means. A user's month that ``monthly_x``
+    lacks takes no part in the season fit.
     """
-    forecaster, target = MODELS[model], last_year + 1
+    target = last_year + 1
+    forecaster = with_regressors(regressors, future_x) if model == REGRESSOR_MODEL else MODELS[model]
     years = list(range(first_year, last_year + 1))
     cells = materialise(rollups.log_cells(filters.year_between(logs, first_year, last_year)))
     users = rollups.user_months_with_project(cells)
+    known = users if monthly_x is None else materialise(users.join(monthly_x, ["username", "year", "month_num"], "left"))
     projects = rollups.monthly_rollup(cells, "projectname")
     paths: dict[str, str] = {}
 
@@ -128,12 +147,12 @@ def run_report(
     by_block = rollups.totals(blocks, ["block", "month_num"])
     save("block_month_totals", named(by_block, "block", "month", "timelog"), small=True)
 
-    for kind, entity, monthly in [("users", "username", users), ("projects", "projectname", projects)]:
+    for kind, entity, monthly in [("users", "username", known), ("projects", "projectname", projects)]:
         # All predictions are kept; winners and totals are read off the kept table.
         table = f"all_{kind}_predictions"
         forecast = forecaster(monthly, entity, first_year, target)
         save(table, forecast)
-        kept = require_rows(read_result(logs.sparkSession, base, model, run, table, forecast.schema, fmt))
+        kept = require_rows(read_result(logs.sparkSession, base, model, run, table, forecast.schema, fmt), kept=True)
         winners = ranking.top_predicted(kept, entity)
         save(
             f"top_{kind}_predictions",

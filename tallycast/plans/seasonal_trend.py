@@ -47,12 +47,10 @@ def forecast_seasonal_trend(
     stopped early has fewer. Entities with one observation are left out. No
     clamp is applied.
 
-    ``regressors`` are columns of ``monthly`` (three at most). Their future
+    ``regressors`` are columns of ``monthly``, any number of them. Their future
     values come from ``future_x`` (entity, year, month_num, regressors), or are
     the entity's historical means.
     """
-    if len(regressors) > 3:
-        raise ValueError("three regressors at most")
     group = f"OVER (PARTITION BY `{entity}`)"
     # A month without its regressor takes no part in the season fit.
     complete = " AND ".join([f"`{x}` IS NOT NULL" for x in regressors] or ["true"])

@@ -203,8 +203,18 @@ def seasonal_trend_ctes(p: str, source: str, entity: str, target: int) -> list[s
     ]
 
 
-def grid_ctes(p: str, source: str, entity: str, first: int, last: int) -> list[str]:
-    """CTE ``p`` (entity, month_idx, year, month_num, timelog, observed) on the full grid."""
+def grid_ctes(p: str, source: str, entity: str, first: int | None = None, last: int | None = None) -> list[str]:
+    """CTE ``p`` (entity, month_idx, year, month_num, timelog, observed) on the full grid, by default over all years there."""
+    if first is None or last is None:
+        return [
+            f"""{p}_i AS (SELECT unnest(range(lo, hi)) AS idx FROM
+  (SELECT min(year) * 12 AS lo, max(year) * 12 + 12 AS hi FROM {source}))""",
+            f"""{p} AS (SELECT e.{entity}, CAST(i.idx AS INTEGER) AS month_idx, CAST(i.idx // 12 AS INTEGER) AS year,
+  CAST(i.idx % 12 + 1 AS INTEGER) AS month_num, coalesce(m.timelog, 0) AS timelog,
+  CASE WHEN m.timelog IS NULL THEN 0 ELSE 1 END AS observed
+  FROM (SELECT DISTINCT {entity} FROM {source}) e CROSS JOIN {p}_i i
+  LEFT JOIN {source} m ON m.{entity} = e.{entity} AND m.year * 12 + m.month_num - 1 = i.idx)""",
+        ]
     lo, hi = first * 12, last * 12 + 12
     return [
         f"""{p} AS (SELECT e.{entity}, CAST(i.idx AS INTEGER) AS month_idx, CAST(i.idx // 12 AS INTEGER) AS year,

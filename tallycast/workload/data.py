@@ -403,12 +403,12 @@ def c2_lookup_unmatched(spark, folder):
 @query(
     "c3_fill_months",
     sql(
-        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username", 1995, 2001)],
+        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username")],
         "SELECT username, year, month_num, CAST(timelog AS BIGINT) AS timelog, observed FROM grid",
     ),
 )
 def c3_fill_months(spark, folder):
-    grid = grids.fill_months(star.user_months(spark, folder), "username", "timelog", 1995, 2001)
+    grid = grids.fill_span(star.user_months(spark, folder), "username")
     return tidy(grid, "username", "year", "month_num", "timelog", "observed")
 
 
@@ -738,16 +738,16 @@ def e5_top3_users_per_month(spark, folder):
 @query(
     "e6_lag_windows",
     sql(
-        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username", 1995, 2001)],
+        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username")],
         """SELECT t.username, t.month_idx, CAST(t.timelog AS BIGINT) AS target,
   CAST(12 - (t.month_idx - l.month_idx) AS INTEGER) AS pos, CAST(l.timelog AS BIGINT) AS lag
 FROM grid t JOIN grid l ON l.username = t.username
   AND l.month_idx BETWEEN t.month_idx - 12 AND t.month_idx - 1
-WHERE t.month_idx >= 1995 * 12 + 12""",
+WHERE t.month_idx >= (SELECT min(year) FROM user_months) * 12 + 12""",
     ),
 )
 def e6_lag_windows(spark, folder):
-    grid = grids.fill_months(star.user_months(spark, folder), "username", "timelog", FIRST_YEAR, TARGET_YEAR)
+    grid = grids.fill_span(star.user_months(spark, folder), "username")
     framed = windows.lag_windows(grid.select("username", "month_idx", "timelog"), "username", "timelog")
     return framed.select("username", "month_idx", "target", F.posexplode("lags").alias("pos", "lag"))
 
@@ -1036,7 +1036,7 @@ def m1_apportion(spark, folder):
             user_logs_cte(),
             "logged AS (SELECT username, date, CAST(sum(timelog) AS BIGINT) AS timelog FROM user_logs GROUP BY username, date)",
             """days AS (SELECT username, CAST(d AS DATE) AS date FROM (SELECT DISTINCT username FROM user_logs)
-  CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS d))""",
+  CROSS JOIN (SELECT unnest(generate_series(make_date(min(year), 1, 1), make_date(max(year), 12, 31), INTERVAL 1 DAY)) AS d FROM user_logs))""",
         ],
         """SELECT username, CAST(year(d.date) AS INTEGER) AS year, CAST(month(d.date) AS INTEGER) AS month_num,
   count(*) AS n_days, count(timelog) AS n_logged, CAST(coalesce(sum(timelog), 0) AS BIGINT) AS timelog
@@ -1048,7 +1048,8 @@ def m2_day_scaffold(spark, folder):
     logged = joins.rollup_by_lookup(
         star.line_logs(spark, folder), star.suppliers(spark, folder), "suppkey", "username", by=["date"]
     )
-    days = grids.day_scaffold(logged.select("username").distinct(), "username", 1995, 2001)
+    logged = materialise(logged, "user-days")
+    days = grids.day_scaffold(logged, "username")
     joined = days.join(logged, ["username", "date"], "left")
     return joined.groupBy("username", F.year("date").alias("year"), F.month("date").alias("month_num")).agg(
         F.count(F.lit(1)).alias("n_days"),
@@ -1060,11 +1061,11 @@ def m2_day_scaffold(spark, folder):
 @query(
     "m3_activity_class",
     sql(
-        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username", 1995, 2001)],
+        [*user_months_ctes(), *grid_ctes("grid", "user_months", "username")],
         """SELECT username, year, month_num, CAST(timelog AS BIGINT) AS timelog, CASE WHEN timelog >= 160
   THEN 'full_time' WHEN timelog > 0 THEN 'part_time' ELSE 'no_log' END AS activity FROM grid""",
     ),
 )
 def m3_activity_class(spark, folder):
-    grid = grids.fill_months(star.user_months(spark, folder), "username", "timelog", 1995, 2001)
+    grid = grids.fill_span(star.user_months(spark, folder), "username")
     return app.activity_class(grid).select("username", "year", "month_num", "timelog", "activity")

@@ -26,6 +26,7 @@ from tallycast.workload.common import (
     seasonal_ar_ctes,
     seasonal_arma_ctes,
     seasonal_trend_ctes,
+    solve_ctes,
     sql,
     tidy,
     user_months_ctes,
@@ -342,6 +343,48 @@ def i8_seasonal_trend_regressor(spark, folder):
     return tidy(forecast, "username", *_COLUMNS)
 
 
+_REGRESSORS = ["projectid", "n_rows", "n_projects", "top_hours"]
+_FOUR_CTES = [
+    full_logs_cte(None, LAST_TRAIN_YEAR),
+    """cells AS (SELECT username, projectid, year, month_num, CAST(sum(timelog) AS DOUBLE) AS t, count(*) AS c
+  FROM full_logs GROUP BY username, projectid, year, month_num)""",
+    """x_months AS (SELECT username, year * 12 + month_num - 1 - 24000 AS k, month_num, sum(t) AS y,
+  sum(projectid * c) / sum(c) AS x1, sum(c)::DOUBLE AS x2, count(projectid)::DOUBLE AS x3, max(t) AS x4
+  FROM cells GROUP BY username, year, month_num)""",
+    """trend AS (SELECT username, regr_slope(y, k) AS slope, regr_intercept(y, k) AS level, max(k) AS last_k,
+  count(*) AS n_obs, avg(x1) AS b1, avg(x2) AS b2, avg(x3) AS b3, avg(x4) AS b4
+  FROM x_months GROUP BY username HAVING count(*) >= 2)""",
+    """ratio AS (SELECT username, month_num, x1, x2, x3, x4, y / nullif(level + slope * k, 0) AS r
+  FROM x_months JOIN trend USING (username))""",
+    """means AS (SELECT username, month_num, avg(r) AS rm, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4
+  FROM ratio WHERE r IS NOT NULL GROUP BY username, month_num)""",
+    """centred AS (SELECT username, [x1 - m1, x2 - m2, x3 - m3, x4 - m4, r - rm] AS v
+  FROM ratio JOIN means USING (username, month_num) WHERE r IS NOT NULL)""",
+    *solve_ctes("beta", "centred", "username", 4),
+    """season AS (SELECT username, month_num, rm - coef[1] * (m1 - b1) - coef[2] * (m2 - b2) - coef[3] * (m3 - b3)
+  - coef[4] * (m4 - b4) AS s FROM means JOIN trend USING (username) JOIN beta USING (username))""",
+    *_REGRESSOR_CTES[-2:],
+]
+
+
+@query(
+    "i8_four_regressors",
+    sql(
+        _FOUR_CTES,
+        f"""SELECT a.username, a.year, a.month_num,
+  {r4("(a.level + a.slope * a.k) * coalesce(s.s, m.s_bar, 1)")} AS yhat, a.n_obs
+FROM ahead a LEFT JOIN season s ON a.username = s.username AND a.month_num = s.month_num
+LEFT JOIN mean_season m ON a.username = m.username WHERE a.year = {TARGET_YEAR}""",
+    ),
+)
+def i8_four_regressors(spark, folder):
+    monthly = rollups.user_months_with_activity(star.cells(spark, folder, None, LAST_TRAIN_YEAR))
+    forecast = seasonal_trend.forecast_seasonal_trend(
+        monthly, "username", regressors=_REGRESSORS, target_year=TARGET_YEAR
+    )
+    return tidy(forecast, "username", *_COLUMNS)
+
+
 @query(
     "i9_pooled_ar",
     sql(

@@ -79,6 +79,7 @@ def j1_top_user_history_and_forecast(spark, folder):
 
 
 def _matrix_columns(aggregate: str) -> str:
+    # Spark takes the years from the data; columns of plain SQL have to be listed.
     return ", ".join(f'{aggregate}(CASE WHEN year = {y} THEN timelog END) AS "{y}"' for y in ALL_YEARS)
 
 
@@ -87,7 +88,7 @@ def _matrix_columns(aggregate: str) -> str:
     sql([*user_months_ctes(), _TOP_USERS], f"SELECT month_num, {_matrix_columns('max')} FROM top_users GROUP BY 1"),
 )
 def j2_top_user_matrix(spark, folder):
-    return charts.year_month_matrix(ranking.top_user_per_month(star.user_months(spark, folder)), ALL_YEARS)
+    return charts.year_month_matrix(ranking.top_user_per_month(star.user_months(spark, folder)))
 
 
 @query(
@@ -102,7 +103,7 @@ def j2_top_user_matrix(spark, folder):
     ),
 )
 def j3_month_total_matrix(spark, folder):
-    return charts.year_month_matrix(rollups.monthly_total(star.project_months(spark, folder)), ALL_YEARS)
+    return charts.year_month_matrix(rollups.monthly_total(star.project_months(spark, folder)))
 
 
 @query(

@@ -102,7 +102,7 @@ def joint_least_squares(points, xs, x_future):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6])
 def test_regressors_against_joint_regression(spark, n):
     rng = random.Random(9)
     series, data = {}, []
@@ -110,7 +110,7 @@ def test_regressors_against_joint_regression(spark, n):
         points, xs = [], []
         for y in range(2017, 2021):
             for m in range(1, 13):
-                x = [rng.uniform(1, 10), rng.uniform(0, 1), rng.uniform(-50, 50)][:n]
+                x = [rng.uniform(1, 10), rng.uniform(0, 1), rng.uniform(-50, 50), *(rng.uniform(0, 900) for _ in range(3))][:n]
                 value = int(1000 * (1 + 0.2 * np.sin(m)) * (1 + 0.02 * x[0]) + rng.randint(-20, 20))
                 points.append((y, m, value))
                 xs.append(x)
@@ -120,7 +120,7 @@ def test_regressors_against_joint_regression(spark, n):
     schema = "entity string, year int, month_num int, timelog long, " + ", ".join(f"{x} double" for x in names)
     df = spark.createDataFrame(data, schema)
     got = predictions(forecast_seasonal_trend(df, "entity", regressors=names))
-    given = {(y, m): [float(m), 0.5, -3.0][:n] for y in (2021,) for m in range(1, 7)}
+    given = {(y, m): [float(m), 0.5, -3.0, 7.0, 8.0, 9.0][:n] for y in (2021,) for m in range(1, 7)}
     future_schema = "entity string, year int, month_num int, " + ", ".join(f"{x} double" for x in names)
     future = spark.createDataFrame([("a", y, m, *x) for (y, m), x in given.items()], future_schema)
     with_future = predictions(forecast_seasonal_trend(df, "entity", regressors=names, future_x=future))
@@ -143,9 +143,14 @@ def test_constant_regressor_changes_nothing(spark, monthly):
     assert joined.count() == 72 and ratio.agg(F.max("s")).first()[0] < 1e-9
 
 
-def test_too_many_regressors(monthly):
-    with pytest.raises(ValueError):
-        forecast_seasonal_trend(monthly(seasonal_series()), "entity", regressors=list("abcd"))
+def test_a_regressor_that_others_explain_changes_nothing(spark):
+    rng = random.Random(4)
+    data = [("a", y, m, rng.randint(500, 900), *(rng.uniform(0, 9) for _ in range(3))) for y in range(2017, 2021) for m in range(1, 13)]
+    data = [(*r, r[4] + 2 * r[5] - r[6], 5.0) for r in data]
+    df = spark.createDataFrame(data, "entity string, year int, month_num int, timelog long, x double, y double, z double, sum double, one double")
+    plain = predictions(forecast_seasonal_trend(df, "entity", regressors=["x", "y", "z"]))
+    more = predictions(forecast_seasonal_trend(df, "entity", regressors=["x", "one", "y", "z", "sum"]))
+    assert list(more["a"]) == list(plain["a"]) and np.allclose(list(more["a"].values()), list(plain["a"].values()), rtol=1e-7)
 
 
 def brute_seasonal_ar(points, first, last, periods):
