@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.operators.filters import split_by_year
@@ -31,21 +31,28 @@ def backtest(
     return align(predicted, actual, [entity, "year", "month_num"], actual_col=value)
 
 
+# Rows without one of the sides count in none of them.
+_ERRORS = {
+    "n": "count(actual - predicted)",
+    "mse": "avg((actual - predicted) * (actual - predicted))",
+    "rmse": "sqrt(avg((actual - predicted) * (actual - predicted)))",
+    "mae": "avg(abs(actual - predicted))",
+    "mape": "avg(try_divide(abs(actual - predicted), abs(actual))) * 100",
+}
+
+
+def _errors() -> list[Column]:
+    return [F.expr(text).alias(name) for name, text in _ERRORS.items()]
+
+
 def accuracy(aligned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Errors over the rows that have both sides, per key or overall.
 
     (keys, n, mse, rmse, mae, mape); mape is in percent and leaves out months
     whose actual value is 0.
     """
-    error = F.col("actual") - F.col("predicted")
     both = aligned.filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
-    return both.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(error * error).alias("mse"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.avg(F.abs(error)).alias("mae"),
-        (F.avg(F.try_divide(F.abs(error), F.abs("actual"))) * 100).alias("mape"),
-    )
+    return both.groupBy(*keys).agg(*_errors())
 
 
 def stack_models(forecasts: Mapping[str, DataFrame]) -> DataFrame:
@@ -81,9 +88,9 @@ def compare_models(
 def model_errors(compared: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``accuracy`` per model over the months that all models cover, with the share of each
     model's own predicted months that they are (``coverage``)."""
-    groups = [*keys, "model"]
-    shares = compared.groupBy(*groups).agg(F.avg(F.col("compared").cast("double")).alias("coverage"))
-    return accuracy(compared.filter("compared"), groups).join(shares, groups)
+    share = F.avg(F.col("compared").cast("double")).alias("coverage")
+    covered = compared.withColumn("predicted", F.when(F.col("compared"), F.col("predicted")))
+    return covered.groupBy(*keys, "model").agg(*_errors(), share).filter("n > 0")
 
 
 def best_model(compared: DataFrame, entity: str, by: str = "rmse", digits: int = 4) -> DataFrame:

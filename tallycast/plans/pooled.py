@@ -1,7 +1,7 @@
-"""Learners fitted once over all entities with MLlib.
+"""Learners fitted once over all entities.
 
-``fit`` runs its jobs on the executors at once and brings back only the fitted
-model (13 weights, or a fixed number of small trees). The training table feeds
+The linear ones are one aggregate of moments and its solution, the trees are MLlib's. Fitting
+runs its jobs at once and brings back only the fitted model (13 weights, or a fixed number of small trees). The training table feeds
 both the fit and the scoring, so it is kept in reliable storage in between and
 the log is read once.
 """
@@ -11,9 +11,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +76,23 @@ def roll_forward(context: Column, weights: list[float], intercept: float, period
     return F.aggregate(F.sequence(F.lit(1), F.lit(periods)), start, step, lambda state: state["out"])
 
 
+def _weights(train: DataFrame, features: list[str], target: str) -> tuple[list[float], float, int]:
+    """Least squares over all rows: weights, intercept and number of rows.
+
+    One aggregate of sums and products sends one row to the driver, which solves for the weights
+    (those of least norm, where features repeat each other). Features are of similar size, about 1.
+    """
+    terms = ["1D", *features, target]
+    cells = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    row = train.select(*[F.expr(t).cast("double").alias(f"t{i}") for i, t in enumerate(terms)])
+    row = row.agg(*[F.sum(F.col(f"t{i}") * F.col(f"t{j}")) for i, j in cells]).first()
+    products = np.zeros((len(terms), len(terms)))
+    for (i, j), value in zip(cells, row):
+        products[i, j] = products[j, i] = value or 0.0
+    solved = np.linalg.lstsq(products[:-1, :-1], products[:-1, -1], rcond=1e-12)[0]
+    return solved[1:].tolist(), float(solved[0]), int(products[0, 0])
+
+
 def forecast_pooled_ar(
     monthly: DataFrame,
     entity: str,
@@ -94,11 +111,8 @@ def forecast_pooled_ar(
     """
     last_year = target_year - 1 if fill_gaps else None
     frame = materialise(lag_frame(monthly, entity, value, lags, first_year, last_year, fill_gaps))
-    train = frame.filter(F.col("target").isNotNull()).select(
-        array_to_vector("recent").alias("features"), "target"
-    )
-    model = LinearRegression(featuresCol="features", labelCol="target", solver="normal").fit(train)
-    path = roll_forward(F.col("recent"), list(model.coefficients), model.intercept, periods)
+    weights, intercept, _ = _weights(frame.filter(F.col("target").isNotNull()), [f"recent[{k}]" for k in range(lags)], "target")
+    path = roll_forward(F.col("recent"), weights, intercept, periods)
     scored = frame.filter(F.col("target").isNull()).withColumn("_path", path)
     future = expand_horizon(scored, periods, "year", target_year)
     yhat = inverse_minmax(F.element_at("_path", F.col("step")), F.col("low"), F.col("span"))
@@ -126,7 +140,7 @@ def forecast_pooled_hinges(
 
     Inputs are the year, standardised over all rows, and the cyclic month; units bend at fixed
     joints. Each entity's values are standardised by its own mean and deviation, so one set of
-    weights (Spark ML's normal equations) serves all. Entities below ``min_rows`` values get
+    weights (least squares over all rows) serves all. Entities below ``min_rows`` values get
     zeros; predictions are clamped at zero.
     """
     rows = monthly.select(entity, "year", "month_num", F.col(value).cast("double").alias("_y")).filter("_y IS NOT NULL")
@@ -140,7 +154,6 @@ def forecast_pooled_hinges(
     mean, spread = span.m or 0.0, span.s or 1.0
     shared = {"year_mean": F.lit(float(mean)), "year_std": F.lit(float(spread))}
     names = [f"h{i}" for i in range(HINGE_FEATURES)]
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
 
     def with_features(df: DataFrame) -> DataFrame:
         wide = df.withColumns(shared)
@@ -152,13 +165,9 @@ def forecast_pooled_hinges(
     future = with_features(
         expand_horizon(history.select(entity, "n_obs", "y_mean", "y_std").dropDuplicates([entity]), 12, "year", target_year)
     )
-    if train.isEmpty():
-        raw = F.lit(0.0)
-    else:
-        fitted = LinearRegression(solver="normal", regParam=0.0).fit(assembler.transform(train).select("features", "label"))
-        weighed = [F.lit(float(w)) * F.col(n) for w, n in zip(fitted.coefficients, names)]
-        shape = reduce(add, weighed, F.lit(float(fitted.intercept)))
-        raw = finite_or_zero(F.col("y_mean") + F.col("y_std") * shape)
+    weights, intercept, n_rows = _weights(train, names, "label")
+    shape = reduce(add, [F.lit(float(w)) * F.col(n) for w, n in zip(weights, names)], F.lit(float(intercept)))
+    raw = finite_or_zero(F.col("y_mean") + F.col("y_std") * shape) if n_rows else F.lit(0.0)
     shortened = F.col("n_obs") < min_rows
     return future.select(
         entity,
