@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.llm.common import table
-from tallycast.llm.tokens import token_ids
+from tallycast.llm.tokens import rank_encoder
 
 SCHEMA = (
     "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -116,12 +116,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end: int = 0) -> Da
     columns = [part.split()[0] for part in SCHEMA.format(kind).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = token_ids(vocabulary)
+        encode = rank_encoder(vocabulary)
         packer = Packer(size, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            texts = [text or "" for text in batch["text"].tolist()]
-            for doc_id, ids in zip(batch["doc_id"].tolist(), encoder.encode(texts)):
-                packer.place(doc_id, array("I", ids), end)
+            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                packer.place(doc_id, array("I", encode(text or "")), end)
             if packer.done:
                 yield pd.DataFrame(packer.done, columns=columns)
                 packer.done = []

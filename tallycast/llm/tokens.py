@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from tallycast.llm.common import process_cache
 
@@ -81,3 +81,42 @@ class TokenIds:
 def token_ids(vocabulary: str) -> TokenIds:
     """The encoder of a vocabulary, kept by a Python worker over its tasks."""
     return process_cache(f"tokens:{vocabulary}", lambda: TokenIds(vocabulary))
+
+
+# Splits a text exactly as the vocabulary's own pattern does, if no two white-space
+# characters meet; without the look-ahead of that pattern it runs much faster.
+_PLAIN = r"'(?:[stmd]|re|ve|ll)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
+
+
+def rank_encoder(vocabulary: str) -> Callable[[str], list[int]]:
+    """The same ids from the vocabulary's rank file (same name, ``.tiktoken``), by a faster encoder.
+
+    A rank file knows no added tokens: a text that holds one of their strings goes to the tokenizers library.
+    """
+
+    def build():
+        import base64
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
+            merges = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
+        with open(vocabulary) as file:
+            added = [t["content"] for t in json.load(file).get("added_tokens", ())]
+        plain, full = (
+            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+            for name, pattern in (("plain", _PLAIN), ("full", public_tokenizers.PATTERN))
+        )
+        return plain, full, added
+
+    plain, full, added = process_cache(f"ranks:{vocabulary}", build)
+
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in added):
+            return array("I", next(token_ids(vocabulary).encode([text]))).tolist()
+        flat = text.replace("\n", " ")  # isprintable: no white space but single spaces
+        return plain(text) if flat.isprintable() and "  " not in flat else full(text)
+
+    return encode
