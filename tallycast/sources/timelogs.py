@@ -33,20 +33,26 @@ def parse_date(df: DataFrame, col: str = "date") -> DataFrame:
 def read_timelogs(
     spark: SparkSession, path: str, fmt: str = "csv", layout: str = "numeric_month"
 ) -> DataFrame:
-    """Logs in canonical form: ``date`` as a date and ``month_num`` as an integer."""
+    """Logs in canonical form: ``date`` as a date and ``month_num`` as an integer.
+
+    Where the files are laid out in folders by year, a filter on ``year`` reads those folders only.
+    """
     raw = _read(spark, path, fmt, LOG_LAYOUTS[layout])
     return normalise_month(parse_date(raw)).drop("month", "userid")
 
 
-def write_timelogs(logs: DataFrame, path: str, fmt: str = "csv", layout: str = "numeric_month") -> None:
-    """Canonical logs back to a file layout that ``read_timelogs`` accepts."""
+def write_timelogs(
+    logs: DataFrame, path: str, fmt: str = "csv", layout: str = "numeric_month", by_year: bool = False
+) -> None:
+    """Canonical logs back to a file layout that ``read_timelogs`` accepts, in a folder for each year if asked."""
     named = logs.withColumn(
         "month", month_name(F.col("month_num")) if layout == "text_month" else F.col("month_num")
     ).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     if "userid" not in named.columns:
         named = named.withColumn("userid", F.lit(None).cast("long"))
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_LAYOUTS[layout]]
-    named.select(*columns).write.mode("overwrite").option("header", True).format(fmt).save(path)
+    writer = named.select(*columns).write.mode("overwrite").option("header", True).format(fmt)
+    (writer.partitionBy("year") if by_year else writer).save(path)
 
 
 def read_projects(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

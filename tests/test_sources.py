@@ -133,3 +133,62 @@ def test_kept_tables_lie_in_the_named_folder_and_take_filters(spark):
     kept = materialise(spark.range(100).selectExpr("id % 7 AS year", "id AS v")).filter("year > 3").select("year")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(year,3)" in plan and "ReadSchema: struct<year:bigint>" in plan
+
+
+def test_deltas_fold_into_bounded_folders_and_any_batch_may_be_replayed(spark, tmp_path):
+    from tallycast.operators.rollups import monthly_rollup
+    from tallycast.streaming import month_deltas, rollup
+
+    out = str(tmp_path)
+    logs = spark.range(900).selectExpr("id % 3 AS k", "2000 AS year", "CAST(1 + id % 12 AS INT) AS month_num", "id AS timelog", "CAST(id % 30 AS INT) AS b")
+    logs = materialise(logs)
+    for number in range(30):
+        batch = logs.where(f"b = {number}").drop("b")
+        for _ in range(2 if number % 4 in (0, 3) else 1):  # a batch that folds, and the one after, come twice
+            rollup.write_batch(batch, number, "k", out, fold=4)
+        if number in (2, 7, 12):
+            so_far = monthly_rollup(logs.where(f"b <= {number}"), "k")
+            assert rows(month_deltas(spark, "k", out)) == rows(so_far)
+        assert len(list(tmp_path.glob("deltas/batch=*"))) <= 8 and len(list(tmp_path.glob("folds/upto=*"))) <= 2
+    # a fold that broke off before its end is not read
+    (tmp_path / "folds" / "upto=29").mkdir()
+    assert rows(month_deltas(spark, "k", out)) == rows(monthly_rollup(logs, "k"))
+
+
+@pytest.mark.parametrize("name", ["in{a}", "in[b]", "in*", "a?b", "a\\b"])
+def test_stream_refuses_pattern_characters_in_a_path(spark, name):
+    from tallycast.streaming import stream_logs
+
+    with pytest.raises(ValueError, match="pattern characters"):
+        stream_logs(spark, f"/data/{name}/", spark.range(1).schema)
+
+
+def test_a_run_replaces_itself_only_and_reads_prune(spark, tmp_path):
+    table = str(tmp_path / "totals")
+    schema = "name string, v long"
+    results.write_run(spark.createDataFrame([("a", 1), ("b", 2)], schema), table, "m1", "2024")
+    results.write_run(spark.createDataFrame([("a", 3)], schema), table, "m1", "2025")
+    results.write_run(spark.createDataFrame([("a", 4)], schema), table, "m2", "2025")
+    results.write_run(spark.createDataFrame([("c", 5)], schema), table, "m1", "2024")
+    read = results.read_run_table(spark, table, spark.createDataFrame([], schema).schema)
+    assert rows(read) == [("a", 3, "m1", "2025"), ("a", 4, "m2", "2025"), ("c", 5, "m1", "2024")]
+    one = read.where("model = 'm1' AND run = '2025'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model" in plan and one.count() == 1
+    with pytest.raises(ValueError, match="no rows"):
+        results.write_run(spark.createDataFrame([], schema), table, "m3", "2025")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_logs_by_year_prune_folders(spark, tmp_path, fmt):
+    from tallycast.operators.filters import year_between
+
+    text = NUMERIC + "".join(f"user{i},{y}-02-03,{y},2,1,Alpha,{i}\n" for i, y in enumerate((2019, 2020, 2021, 2021)))
+    logs = timelogs.read_timelogs(spark, write(tmp_path / "a.csv", text))
+    path = str(tmp_path / "out")
+    timelogs.write_timelogs(logs, path, fmt, by_year=True)
+    again = timelogs.read_timelogs(spark, path, fmt)
+    assert rows(again, *sorted(again.columns)) == rows(logs, *sorted(logs.columns))
+    late = year_between(again, 2020, 2021)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and late.count() == 3
