@@ -1,23 +1,26 @@
-"""Secret scans with a trigram index.
+"""Secret scans with a trigram inverted index.
 
 Each rule's regex is turned into a Boolean query of trigrams that any match must contain.
-The trigrams of all rules form the index's vocabulary; the index holds, per trigram, one bit
-per document (bit postings, stored beside the rows they describe, so that no text is ever
-shuffled). Intersecting postings is a bit test per document, and the regex runs only on the
-candidates left. A rule without mandatory trigrams has the query "all" and scans every text.
-DataFrame functions only on the main path; the regexes are analysed once, on the driver.
+The trigrams of all rules are the index's vocabulary. The index holds posting lists: per block
+of texts and trigram, the keys of the texts that hold it. Queries intersect and unite posting
+lists block by block, and the candidates they leave come back to the rows by key, a slim list
+that meets the texts where they are scanned. The regex then runs on candidates only. A rule
+without mandatory trigrams has the query "all" and scans every text. DataFrame functions only
+on the main path; the regexes are analysed once, on the driver.
 """
 
 from __future__ import annotations
 
 from itertools import product
+from math import ceil
 from re import _parser as regex_parser
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import fresh, table, text_of
+from tallycast.llm.common import BROADCAST_BYTES, fresh, salted_join, table, text_of
+from tallycast.storage import drop_scratch, write_scratch
 
 
 class Rule(NamedTuple):
@@ -157,40 +160,95 @@ def vocabulary(rules=RULES) -> list[str]:
     return sorted({g for r in rules for alternative in trigram_query(r.regex) or [] for g in alternative})
 
 
-_BITS = 60  # trigrams to a word of postings
+POSTINGS = 1 << 15  # postings to a block of the index, about
+_KEYS = "array<bigint>"
+_ROWS = "key bigint, gram string, n bigint"
+_CHOSEN = "key bigint, rules array<int>, n bigint"
 
 
-def postings(low: Column, grams: list[str]) -> Column:
-    """Bit k of the words is set where the lower-case text holds trigram k."""
-    words = [
-        F.lit(0).cast("long") if not part else _bits_of(low, part)
-        for part in (grams[i : i + _BITS] for i in range(0, max(len(grams), 1), _BITS))
-    ]
-    return F.array(*words)
+def held_trigrams(texts: DataFrame, text: str, grams: list[str]) -> DataFrame:
+    """(key, gram, n): the trigrams that each distinct text holds, and in how many rows it stands.
+
+    The key is a hash of the text, so copies are one text. Two texts of one key share their
+    postings, which adds candidates and loses none.
+    """
+    lowered = texts.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    return lowered.select("key", F.explode(held).alias("gram")).groupBy("key", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def posting_lists(held: DataFrame, rows: int) -> DataFrame:
+    """(block, gram, keys): the keys of a block's texts that hold the trigram.
+
+    Blocks are hash classes of keys, as many as the number of postings asks for, so that the
+    lists of a block stay of one size whatever the table's size.
+    """
+    block = F.pmod(F.col("key"), F.lit(max(1, ceil(rows / POSTINGS)))).alias("block")
+    return held.groupBy(block, "gram").agg(F.collect_list("key").alias("keys"))
+
+
+def candidates(index: DataFrame, rules) -> DataFrame:
+    """(key, rule): texts whose posting lists satisfy a rule's query. Rules without a query are left out."""
+    lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))
+    queries = F.array(
+        *[
+            F.struct(F.lit(number).alias("rule"), F.array(*map(F.lit, grams)).alias("grams"))
+            for number, rule in enumerate(rules)
+            for grams in trigram_query(rule.regex) or []
+        ]
+    )
+
+    def posted(gram):
+        return F.coalesce(F.try_element_at("lists", gram), F.array().cast(_KEYS))
+
+    def met(query):
+        keys = F.aggregate(query.grams, posted(query.grams[0]), lambda kept, gram: F.array_intersect(kept, posted(gram)))
+        return F.struct(query.rule.alias("rule"), keys.alias("keys"))
+
+    found = lists.select(F.explode(F.transform(queries, met)).alias("f"))
+    return found.select(F.explode("f.keys").alias("key"), "f.rule").distinct()
+
+
+def _chosen_rules(texts: DataFrame, text: str, rules) -> DataFrame:
+    """(key, rules, n): the rules for which a text is a candidate; kept, with the index dropped again."""
+    spark = texts.sparkSession
+    path = write_scratch(held_trigrams(texts, text, vocabulary(rules)), "postings")
+    held = spark.read.schema(_ROWS).parquet(path)
+    found = candidates(posting_lists(held.select("key", "gram"), held.count()), rules)
+    found = found.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+    kept = write_scratch(found.join(held.groupBy("key").agg(F.max("n").alias("n")), "key"), "candidates")
+    drop_scratch(spark, path)
+    return spark.read.schema(_CHOSEN).parquet(kept)
+
+
+def _with_candidates(docs: DataFrame, text: str, column: str, rules) -> DataFrame:
+    """``docs`` with the array of rules for which its text is a candidate, or null.
+
+    A list of candidates within the broadcast bound meets the texts in place. Beyond it the rows
+    move once, those of a text that stands in very many dealt over several tasks.
+    """
+    chosen = _chosen_rules(docs, text, rules)
+    rows = docs.select(F.xxhash64(text).alias("key"), F.struct("*").alias("row"))
+    if (64 + 4 * len(rules)) * chosen.count() <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(chosen.drop("n")), "key", "left")
+    else:
+        joined = salted_join(rows, chosen, ["key"], "n", "monotonically_increasing_id()", "left")
+    return joined.select("row.*", F.col("rules").alias(column))
+
+
+_SPANS = "array<struct<start: int, kind_no: int, stop: int>>"
 
 
-def _bits_of(low: Column, part: list[str]) -> Column:
-    bits = [F.when(F.contains(low, F.lit(g)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, g in enumerate(part)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that computes ``value`` once and uses it as ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def candidate(index: str, rule: Rule, grams: list[str]) -> Column:
-    """Whether the postings satisfy the rule's query."""
-    query = trigram_query(rule.regex)
-    if query is None:
-        return F.lit(True)
-    place = {g: k for k, g in enumerate(grams)}
-    tests = []
-    for alternative in query:
-        masks: dict[int, int] = {}
-        for g in alternative:
-            word, bit = divmod(place[g], _BITS)
-            masks[word] = masks.get(word, 0) | 1 << bit
-        tests.append("(" + " AND ".join(f"({index}[{w}] & {m}L) = {m}L" for w, m in masks.items()) + ")")
-    return F.expr(" OR ".join(tests))
+def _chunks(items: str) -> str:
+    """SQL of an array cut into about as many pieces as each has items. Appending copies an array, so
+    what appends item by item does so within a piece."""
+    step = f"greatest(1, CAST(sqrt(size({items})) AS INT))"
+    return _let(step, "step", f"transform(sequence(0, CAST((size({items}) - 1) div step AS INT)), i -> slice({items}, i * step + 1, step))")
 
 
 def _spans(rule: Rule, order: int, text: str) -> Column:
@@ -201,16 +259,21 @@ def _spans(rule: Rule, order: int, text: str) -> Column:
         fixed = len(regex[: regex.index("[")])
         regex = f"{regex[:-1]}{{{max(1, rule.least - fixed)},}}"
     quoted = "r'" + regex.replace("'", r"\x27") + "'"
-    whole, counted = f"regexp_extract_all({text}, {quoted}, 0)", f"regexp_extract_all({text}, {quoted}, {rule.group})"
-    walk = f"""aggregate(
-        zip_with(zip_with({whole}, {counted}, (m, g) -> struct(length(m) AS n, length(g) AS c)),
-                 transform(split({text}, {quoted}, -1), p -> length(p)), (m, p) -> struct(m.n AS n, m.c AS c, p AS p)),
-        struct(0 AS pos, CAST(array() AS array<struct<start: int, kind_no: int, stop: int>>) AS spans),
+    found = f"transform(regexp_extract_all({text}, {quoted}, 0), m -> struct(length(m) AS n, length(m) AS c))"
+    if rule.group:
+        groups = f"regexp_extract_all({text}, {quoted}, {rule.group})"
+        found = f"zip_with(regexp_extract_all({text}, {quoted}, 0), {groups}, (m, g) -> struct(length(m) AS n, length(g) AS c))"
+    items = f"zip_with({found}, split({text}, {quoted}, -1), (m, p) -> struct(m.n AS n, m.c AS c, length(p) AS p))"
+    starts = """aggregate(pieces, struct(0 AS pos, CAST(array() AS array<int>) AS starts),
+        (a, piece) -> struct(a.pos + aggregate(piece, 0, (n, x) -> n + x.p + coalesce(x.n, 0)) AS pos,
+            array_append(a.starts, a.pos) AS starts), a -> a.starts)"""
+    walk = f"""flatten(zip_with(pieces, {starts}, (piece, start) -> aggregate(piece,
+        struct(start AS pos, CAST(array() AS {_SPANS}) AS spans),
         (a, x) -> struct(a.pos + x.p + coalesce(x.n, 0) AS pos, IF(x.c >= {rule.least},
             array_append(a.spans, struct(a.pos + x.p AS start, {order} AS kind_no, a.pos + x.p + x.n AS stop)), a.spans) AS spans),
-        a -> a.spans)"""
-    empty = "CAST(array() AS array<struct<start: int, kind_no: int, stop: int>>)"
-    return F.expr(f"IF({text} RLIKE {quoted}, {walk}, {empty})")
+        a -> a.spans)))"""
+    walk = _let(items, "items", _let(_chunks("items"), "pieces", walk))
+    return F.expr(f"IF({text} RLIKE {quoted}, {walk}, CAST(array() AS {_SPANS}))")
 
 
 def find_secrets(docs: DataFrame, rules=RULES, column: str = "spans") -> DataFrame:
@@ -218,15 +281,20 @@ def find_secrets(docs: DataFrame, rules=RULES, column: str = "spans") -> DataFra
 
     Positions count code points. A null text is empty. Spans of different rules may overlap;
     within one rule they do not. Other columns stay, repeated rows too; one of the same name
-    as ``column`` is replaced.
+    as ``column`` is replaced. The index is built at the call, from one scan of the texts.
     """
-    grams = vocabulary(rules)
-    text, low, index = fresh(docs, "whole"), fresh(docs, "low"), fresh(docs, "postings")
-    indexed = docs.withColumn(text, text_of()).withColumn(low, F.lower(text))
-    indexed = indexed.withColumn(index, postings(F.col(low), grams)).drop(low)
-    none = F.expr("CAST(array() AS array<struct<start: int, kind_no: int, stop: int>>)")
-    parts = [F.when(candidate(index, rule, grams), _spans(rule, k, text)).otherwise(none) for k, rule in enumerate(rules)]
-    return indexed.withColumn(column, F.array_sort(F.flatten(F.array(*parts)))).drop(text, index)
+    text, chosen = fresh(docs, "whole"), fresh(docs, "chosen")
+    scanned = docs.withColumn(text, text_of())
+    if vocabulary(rules):
+        scanned = _with_candidates(scanned, text, chosen, rules)
+    none = F.expr(f"CAST(array() AS {_SPANS})")
+    parts = []
+    for k, rule in enumerate(rules):
+        spans = _spans(rule, k, f"`{text}`")
+        if trigram_query(rule.regex) is not None:
+            spans = F.when(F.array_contains(chosen, F.lit(k)), spans).otherwise(none)
+        parts.append(spans)
+    return scanned.withColumn(column, F.array_sort(F.flatten(F.array(*parts)))).drop(text, chosen)
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -234,10 +302,17 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     n_chars, where present, follows the new text. Rows without a span keep their text as it is."""
     spans, hit = fresh(docs, "spans"), fresh(docs, "hit")
     found = find_secrets(docs, rules, spans).withColumn(hit, F.size(spans) > 0)
-    merged = f"""aggregate({spans}, struct(0 AS pos, CAST(array() AS array<string>) AS parts),
-        (a, x) -> struct(greatest(a.pos, x.stop) AS pos,
-            IF(x.start >= a.pos, array_append(a.parts, concat(substring(text, a.pos + 1, x.start - a.pos), '{mark}')), a.parts) AS parts),
-        a -> concat(array_join(a.parts, ''), substring(text, a.pos + 1)))"""
+    ends = """aggregate(pieces, struct(0 AS pos, CAST(array() AS array<int>) AS ends),
+        (a, piece) -> struct(greatest(a.pos, array_max(transform(piece, x -> x.stop))) AS pos,
+            array_append(a.ends, greatest(a.pos, array_max(transform(piece, x -> x.stop)))) AS ends), a -> a.ends)"""
+    # a piece of spans rewrites its own stretch of the text, from the end of those before it
+    stretch = f"""aggregate(piece, struct(begin AS pos, CAST(array() AS array<string>) AS parts),
+        (a, x) -> struct(greatest(a.pos, x.stop) AS pos, IF(x.start >= a.pos, array_append(a.parts,
+            concat(substring(part, a.pos - begin + 1, x.start - a.pos), '{mark}')), a.parts) AS parts),
+        a -> array_join(a.parts, ''))"""
+    stretch = _let("IF(k = 0, 0, ends[greatest(k - 1, 0)])", "begin", _let("substring(text, begin + 1, ends[k] - begin)", "part", stretch))
+    merged = f"concat(array_join(transform(pieces, (piece, k) -> {stretch}), ''), substring(text, element_at(ends, -1) + 1))"
+    merged = _let(_chunks(spans), "pieces", _let(ends, "ends", merged))
     cleaned = found.withColumn("text", F.expr(f"IF({hit}, {merged}, text)"))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

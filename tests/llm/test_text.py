@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallycast.llm import chat, decontaminate, pages, secrets, toxicity
 from tests.llm.conftest import prose
 
@@ -91,6 +94,45 @@ def test_secret_spans_match_brute_force(spark, docs):
     assert secrets.find_secrets(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("bound", [secrets.BROADCAST_BYTES, 0])
+def test_secrets_through_the_index(spark, docs, monkeypatch, no_broadcast, bound):
+    """Small blocks, candidates by either join, copies of one text dealt over tasks, clashing columns."""
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(secrets, "POSTINGS", 4)
+    monkeypatch.setattr("tallycast.llm.common.SALT", 4)
+    texts = [*SECRETS, *[SECRETS[4]] * 30, *[f"{prose(40, i)} token = {prose(2, i).replace(' ', '')}{i:08d}" for i in range(40)]]
+    frame = docs(enumerate(texts)).withColumnsRenamed({"lang": "key", "source": "salt", "n_chars": "rules"})
+    found = secrets.find_secrets(frame)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" if bound else "SortMergeJoin") in plan and "Python" not in plan
+    rows = found.collect()
+    assert len(rows) == len(texts) and found.columns == [*frame.columns, "spans"]
+    for r in rows:
+        assert r.text == texts[r.doc_id] and r.key == "en"
+        assert [tuple(s) for s in r.spans] == spans_by_force(r.text, secrets.RULES)
+
+
+def test_posting_lists_answer_queries(spark, docs):
+    frame = docs([(1, "has a PASSword"), (2, "has a PASSword"), (3, "pas ass ssw swo wor ord"), (4, "pass word"), (5, None)])
+    texts = frame.select(F.coalesce("text", F.lit("")).alias("t"))
+    held = secrets.held_trigrams(texts, "t", secrets.vocabulary())
+    assert {r.n for r in held.where("gram = 'ssw'").collect()} == {1, 2}
+    index = secrets.posting_lists(held, 1)
+    assert {r.gram: len(r["keys"]) for r in index.collect()}["pas"] == 3
+    keys = {r.key for r in texts.where("lower(t) LIKE '%ssw%'").select(F.xxhash64("t").alias("key")).collect()}
+    assert {(r.key, r.rule) for r in secrets.candidates(index, secrets.RULES).collect()} == {(k, 0) for k in keys}
+
+
+def test_very_many_secrets_in_one_text(spark, docs):
+    text = "ü token=abcdefgh1 " * 40_000
+    frame = docs([(1, text)])
+    began = time.monotonic()
+    row = secrets.find_secrets(frame).first()
+    assert [tuple(s) for s in row.spans] == spans_by_force(text, secrets.RULES)
+    assert secrets.redact(frame).first().text == "ü [SECRET] " * 40_000
+    assert time.monotonic() - began < 30
+
+
 def test_queries_hold_for_every_match():
     for rule in secrets.RULES:
         query = secrets.trigram_query(rule.regex)
