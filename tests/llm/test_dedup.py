@@ -188,3 +188,23 @@ def test_similarity_of_exactly_four_fifths_is_found(spark, docs):
     assert got[2] == got[3]
     got = {r.doc_id: r.component for r in near_copies.similar_groups(docs([texts[0], texts[3]])).collect()}
     assert got[1] != got[4]
+
+
+def test_nodes_meet_once_at_their_first_shared_shingle(spark):
+    places = "shingle long, node long, n long, i int, part long"
+    met = lambda held: near_copies._met(spark.createDataFrame(held, places)).collect()
+    # 30 texts of one passage, each with a prefix that ends elsewhere in it: 435 pairs, which share 20 shingles and more.
+    nodes = {node: list(range(20 + node % 7)) for node in range(30)}
+    got = met([(s, node, 900, i, node) for node, held in nodes.items() for i, s in enumerate(held)])
+    assert len({frozenset(r) for r in got}) == len(got) == 30 * 29 // 2
+    rng = random.Random(8)
+    nodes = {node: (rng.randrange(60, 300), sorted(rng.sample(range(80), rng.randrange(1, 25)))) for node in range(60)}
+    got = met([(s, node, n, i, node % 50) for node, (n, held) in nodes.items() for i, s in enumerate(held)])
+    expected = set()
+    for a, (n, x) in nodes.items():
+        for b, (m, y) in nodes.items():
+            if shared := set(x) & set(y):
+                left = min(n - x.index(min(shared)), m - y.index(min(shared)))
+                if a < b and a % 50 != b % 50 and 5 * min(n, m) >= 4 * max(n, m) and 9 * left >= 4 * (n + m):
+                    expected.add(frozenset((a, b)))
+    assert expected and {frozenset(r) for r in got} == expected
