@@ -12,11 +12,16 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from tallycast.llm.common import process_cache
 
 MOST_PARTS = 1 << 20  # parts a worker remembers before it starts anew
 LONGEST_PART = 64  # longer parts are not remembered
 GROUP = 1 << 22  # characters worked on at a time
+LINE = 128  # parts that the library gets as one text
 _UNSAFE = re.compile(r" (?:\s|$)")
 
 
@@ -42,6 +47,11 @@ class TokenIds:
             and not split.get("add_prefix_space", True)
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", ()))
         )
+        vocabulary_ids = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(1 + max(self._tokenizer.get_vocab().values(), default=0), np.int64)  # of each token
+        self._bytes[list(vocabulary_ids.values())] = [len(t) for t in vocabulary_ids]
+        for token in spec.get("added_tokens", ()):
+            self._bytes[token["id"]] = len(token["content"].encode())
         self._known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -59,20 +69,53 @@ class TokenIds:
                 group, size = [], 0
         yield from self._group(group)
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part after its space, many parts to one text.
+
+        A byte-level token stands for its bytes, so the lengths of tokens show where a part ends."""
+        lines = [" " + " ".join(parts[k : k + LINE]) for k in range(0, len(parts), LINE)]
+        ids = np.frombuffer(b"".join(self._whole(lines)), np.uint32)
+        ends = np.cumsum(self._bytes[ids])
+        wanted = np.cumsum(np.fromiter((1 + len(p.encode()) for p in parts), np.int64, len(parts)))
+        stops = np.searchsorted(ends, wanted)
+        if len(ends) != (stops[-1] + 1 if len(parts) else 0) or not np.array_equal(ends[stops], wanted):
+            return self._whole([" " + p for p in parts])  # some byte has no token
+        data, cuts = ids.tobytes(), (4 * (stops + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _group(self, texts: list[str]) -> Iterator[bytes]:
+        cut = np.fromiter((self._by_parts and not _UNSAFE.search(t) for t in texts), bool, len(texts))
+        rest = iter(self._whole([t for t, c in zip(texts, cut) if not c]))
+        ids = self._cut([t for t, c in zip(texts, cut) if c])
+        for c in cut.tolist():
+            yield next(ids if c else rest)
+
+    def _cut(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that are cut at their spaces."""
+        if not texts:
+            return
         if len(self._known) > MOST_PARTS:
             self._known = {}
         known = self._known  # a part without its space: the ids of the part with it
-        whole, parts, new = [], [], set()
-        for text in texts:
-            first, *others = text.split(" ") if self._by_parts and not _UNSAFE.search(text) else (text,)
-            whole.append(first)
-            parts.append(others)
-            new.update(others)
-        new = list(new - known.keys())
-        known.update(zip(new, self._whole([" " + p for p in new])))
-        for first, others in zip(self._whole(whole), parts):
-            yield first + b"".join(map(known.__getitem__, others))
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        parts, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        firsts = [text.partition(" ")[0] for text in texts]
+        inner = np.ones(len(which), bool)
+        inner[starts[:-1]] = False  # a text's first part has no space before it
+        used = np.bincount(which[inner], minlength=len(parts)) > 0
+        new = [p for p, u in zip(parts, used.tolist()) if u and p not in known]
+        known.update(zip(new, self._parts(new)))
+        held = [known[p] if u else b"" for p, u in zip(parts, used.tolist())] + self._whole(firsts)
+        which[starts[:-1]] = len(parts) + np.arange(len(texts))
+        pool = np.frombuffer(b"".join(held), np.uint32)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        places, counts = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        after = np.concatenate(([0], np.cumsum(counts)))
+        ids = pool[np.repeat(places - after[:-1], counts) + np.arange(after[-1])]
+        for a, b in zip(after[starts[:-1]].tolist(), after[starts[1:]].tolist()):
+            yield ids[a:b].tobytes()
         for part in new:
             if len(part) > LONGEST_PART:
                 del known[part]

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallycast.llm import common, prefixes, spelling, wavelet
+from tallycast.llm import common, prefixes, spelling, tokens, wavelet
 from tests.llm.conftest import prose
 
 P = pytest.importorskip("public_tokenizers")
@@ -79,6 +79,18 @@ def test_ids_are_read_back_from_the_files(spark, docs, tmp_path):
     assert places == {(x, i) for i, x in enumerate(corpus) if x in asked}
 
 
+def test_distinct_parts_travel_together():
+    encoder = tokens.TokenIds(VOCABULARY)
+    whole, sent = encoder._whole, []
+    encoder._whole = lambda texts: sent.append(len(texts)) or whole(texts)
+    texts = [prose(4000, 90), "é" * 70 + " <|endoftext|> x\n y" + " 日本\t語", "", " a", "two  spaces", *(prose(40, k) for k in range(5))]
+    expected = [x for text in texts for x in whole([text])]
+    assert list(encoder.encode(texts)) == expected == list(encoder.encode(texts))
+    assert sum(sent) < 100  # one string for each of some 4,000 distinct parts before
+    encoder._known, encoder._bytes = {}, encoder._bytes + 1  # lengths that do not fit: each part by itself
+    assert list(encoder.encode(texts)) == expected
+
+
 def test_ids_of_null_repeated_and_no_rows(spark, docs, tmp_path):
     pairs = [(None, "b c"), (1, None), (1, None), (2, "x"), (2, "x")]
     wavelet.write(docs(pairs).withColumnRenamed("n_chars", "part").withColumn("image", F.lit(1)), str(tmp_path / "a"), VOCABULARY)
