@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,6 +92,25 @@ def test_distinct_parts_travel_together():
     assert list(encoder.encode(texts)) == expected
 
 
+def test_words_need_no_pattern():
+    encoder = tokens.TokenIds(VOCABULARY)
+    whole, sent = encoder._whole, []
+    encoder._whole = lambda texts: sent.extend(texts) or whole(texts)
+    texts = [" Größe, größe. größe!!\nĀb12 größe Жук_", "größe, größe", "größe don't größe  größe\n"]
+    assert list(encoder.encode(texts)) == [array("I", ids_of(t)).tobytes() for t in texts]
+    assert sent == [" don't größe  größe\n"]  # three parts that hold more than words, as one text
+    assert " größe".encode() in encoder._known and " größe,".encode() not in encoder._known
+
+
+def test_pieces_keep_the_ids_of_any_character():
+    odd = random.Random(4)
+    signs = "ab  \n'st1.<-é×÷ÀʯʿЖѿ҂日 \u2003\u3000\x85“\t\r\x1c\x7f\x00²º\u0301\U0001f600"
+    texts = ["".join(odd.choices(signs, k=odd.randint(0, 30))) for _ in range(3000)]
+    texts += [f"a{chr(c)}b the{chr(c) * 2} {chr(c)}ing" for c in range(1, 0x500)]
+    encoder = tokens.TokenIds(VOCABULARY)
+    assert list(encoder.encode(texts)) == encoder._whole(texts)
+
+
 def test_ids_of_null_repeated_and_no_rows(spark, docs, tmp_path):
     pairs = [(None, "b c"), (1, None), (1, None), (2, "x"), (2, "x")]
     wavelet.write(docs(pairs).withColumnRenamed("n_chars", "part").withColumn("image", F.lit(1)), str(tmp_path / "a"), VOCABULARY)
